@@ -6,10 +6,10 @@ least a threshold.  They rest on one global order of shingles, rare ones first:
 1. ``frequency_sketch`` counts all shingles of all rows in a table of fixed width (two to
    the ``bits``).  Any total order makes the prefix filter exact; the width only decides
    how well the order tells rare from frequent, hence how many candidates there are.
-2. ``prefix_postings`` emits, for each *class* (rows with equal shingle sets), the first
+2. ``prefixes`` and ``postings`` give, for each *class* (rows with equal shingle sets), the first
    ``n - ceil(t*n) + 1`` shingles in that order.  Two sets with similarity >= t share one.
-3. ``candidates`` joins postings on the shingle under length and position filters.
-4. the callers verify the overlap of candidates and expand classes to their members.
+3. the callers join postings on the shingle under the length and position filters of
+   ``near_enough``, verify the overlap of candidates and expand classes to their members.
 
 Shingles are 44-bit hashes; two different shingles of one pair of 150-shingle texts
 coincide with probability below 1e-8.
@@ -127,38 +127,17 @@ def _classes(per: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(acc[first[1:]] - acc[first[:-1]] + per.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).astype(np.int64), first
 
 
-def needed_overlap(a, b, threshold: float):
-    """The least overlap of sets of sizes a and b with Jaccard similarity >= threshold."""
-    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+def prefixes(docs: DataFrame, sketch: FrequencySketch, n: int, min_words: int, threshold: float) -> DataFrame:
+    """(id, cls, size, tokens, pos) of every row with at least ``min_words`` words.
 
-
-def memberships(docs: DataFrame, n: int, min_words: int, carry: str = "") -> DataFrame:
-    """(id, cls, carried columns) of every row with at least ``min_words`` words."""
-    names = [c.strip().split()[0] for c in carry.split(",") if c.strip()]
-
-    def run(batches):
-        for part, a, b, count, per, tok in _rows(batches, n, min_words):
-            cls, _ = _classes(per, tok)
-            idx = pa.array(np.flatnonzero(per > 0))
-            cut_part = part.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([cut_part.column("id").take(idx), pa.array(cls).take(idx), *(cut_part.column(c).take(idx) for c in names)], ["id", "cls", *names])
-
-    return docs.mapInArrow(run, "id bigint, cls bigint" + (", " + carry if names else ""))
-
-
-def prefix_postings(docs: DataFrame, sketch: FrequencySketch, n: int, min_words: int, threshold: float, carry: str = "") -> DataFrame:
-    """(token, cls, size, pos, carried columns): the prefix of every class, each class once a carried value.
-
-    Tokens that the sketch has seen once only can meet no other row and are left out.
-    Equal rows of a task are emitted once, those of different tasks are merged after.
+    ``tokens`` is the row's prefix in the global order, ``pos`` each token's place in it.
+    Tokens that the sketch has seen once only can meet no other row and are left out, so
+    the arrays are short and travel to later joins in place of the text.
     """
-    names = [c.strip().split()[0] for c in carry.split(",") if c.strip()]
     rank_of = sketch.rank()
 
     def run(batches):
         for part, a, b, count, per, tok in _rows(batches, n, min_words):
-            if not len(tok):
-                continue
             cls, first = _classes(per, tok)
             rank = rank_of(tok)
             row = np.repeat(np.arange(b - a), per)
@@ -166,12 +145,21 @@ def prefix_postings(docs: DataFrame, sketch: FrequencySketch, n: int, min_words:
             pos = np.arange(len(tok)) - first[:-1][row]
             prefix = (per - np.ceil(threshold * per - 1e-9).astype(np.int64) + 1)[row]
             keep = (pos < prefix) & (rank[order] > 0)
-            tokens, rows = tok[order][keep], row[keep]
-            extra = [part.column(c).slice(a, b - a).take(pa.array(rows)) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(cls[rows]), pa.array(per[rows].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), *extra], ["token", "cls", "size", "pos", *names])
+            some = np.flatnonzero(per > 0)
+            at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=b - a)[some]))).astype(np.int32))
+            idx = pa.array(some)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").slice(a, b - a).take(idx), pa.array(cls[some]), pa.array(per[some].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(tok[order][keep])), pa.ListArray.from_arrays(at, pa.array(pos[keep].astype(np.int32)))],
+                ["id", "cls", "size", "tokens", "pos"],
+            )
+
+    return docs.mapInArrow(run, "id bigint, cls bigint, size int, tokens array<bigint>, pos array<int>")
+
 
-    rows = docs.mapInArrow(run, "token bigint, cls bigint, size int, pos int" + (", " + carry if names else ""))
-    return rows.groupBy("token", "cls", *names).agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+def postings(rows: DataFrame, *keys: str) -> DataFrame:
+    """(token, cls, size, pos, keys) of the prefixes, each class once for every value of ``keys``."""
+    each = rows.select("cls", *keys, "size", "tokens", "pos").dropDuplicates(["cls", *keys])
+    return each.select("cls", *keys, "size", F.explode(F.arrays_zip("tokens", "pos")).alias("p")).select(F.col("p.tokens").alias("token"), "cls", *keys, "size", F.col("p.pos").alias("pos"))
 
 
 def near_enough(a: str, b: str, threshold: float):
@@ -215,4 +203,4 @@ def prepared(df: DataFrame, id_col: str, text_col: str, salt: int = 0, *carry: s
     return df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.lit(salt).cast("bigint").alias("salt"), F.lower(F.col(text_col)).alias("text"), *carry)
 
 
-__all__ = ["FrequencySketch", "cut", "frequency_sketch", "memberships", "near_enough", "needed_overlap", "prefix_postings", "prepared", "sketch_bits", "token_sets"]
+__all__ = ["FrequencySketch", "cut", "frequency_sketch", "near_enough", "postings", "prefixes", "prepared", "sketch_bits", "token_sets"]

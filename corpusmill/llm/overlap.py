@@ -39,11 +39,10 @@ def cross_split_pairs(samples: DataFrame, manifest: DataFrame, threshold: float
     docs = N.prepared(samples, id_col, text_col)
     sketch = N.frequency_sketch(docs, shingle, min_words, N.sketch_bits(samples))
     sides = splits_of(manifest).select("id", (F.col("split") == "train").alias("train"))
-    sided = docs.join(sides, "id")
-    members = N.cut(N.memberships(sided, shingle, min_words, "train boolean"))
-    postings = N.prefix_postings(sided, sketch, shingle, min_words, threshold, "train boolean")
-    index = postings.filter("NOT train").alias("e")
-    probe = postings.filter("train").alias("t")
+    sided = N.cut(N.prefixes(docs, sketch, shingle, min_words, threshold).join(sides, "id"))
+    members = sided.select("id", "cls", "train")
+    index = N.postings(sided.filter("NOT train"), "train").alias("e")
+    probe = N.postings(sided.filter("train"), "train").alias("t")
     pairs = N.cut(
         probe.join(index, (F.col("t.token") == F.col("e.token")) & (F.col("t.cls") != F.col("e.cls")) & N.near_enough("t", "e", threshold))
         .select(F.col("t.cls").alias("t"), F.col("e.cls").alias("e"))
