@@ -47,3 +47,11 @@ def estimated_bytes(df: DataFrame) -> int:
 def safe_double(col) -> "F.Column":
     """``try_cast`` to double: text that is no number becomes null."""
     return F.expr(f"try_cast({col} AS DOUBLE)")
+
+
+def collect_bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that is small by contract; an error, never a cut, beyond ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise RuntimeError(f"{what}: more than {most} rows")
+    return rows
