@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.functions.runtime import table
-from corpusmill.llm import overlap
+from corpusmill.functions.runtime import collect_bounded, table
+from pyspark.sql import functions as F
+
+from corpusmill.llm import entities, neargroups, overlap
 from corpusmill.plans.registry import Registry
 
 R = Registry()
@@ -22,5 +24,48 @@ def p1_report(spark, sf):
     return overlap.overlap_report(overlap.cross_split_pairs(samples, manifest), samples, manifest)
 
 
+@R.add("p2_found")
+def p2_found(spark, sf):
+    """Groups of records with near prompts or near descriptions."""
+    return neargroups.near_groups(table(spark, sf, "dataset_samples"), "sample_id", ["prompt", "description"], 0.7, 3, 20)
+
+
+@R.add(
+    "p6_found",
+    r"""
+WITH n AS (
+  SELECT sample_id, dataset, problem_id, lower(trim(regexp_replace(problem_id, '\s+', ' ', 'g'))) AS s FROM dataset_samples),
+k AS (
+  SELECT sample_id, CASE WHEN trim(problem_id) = '' THEN NULL
+    WHEN NOT starts_with(dataset, 'codecontests') THEN dataset || ' ' || problem_id
+    WHEN regexp_matches(s, '^([a-z]+)(?:[^a-z0-9]+contest)?[^a-z0-9]*0*([0-9]+)')
+      THEN 'contest ' || regexp_extract(s, '^([a-z]+)(?:[^a-z0-9]+contest)?[^a-z0-9]*0*([0-9]+)', 1) || '/' || regexp_extract(s, '^([a-z]+)(?:[^a-z0-9]+contest)?[^a-z0-9]*0*([0-9]+)', 2)
+    WHEN regexp_matches(s, '^0*([0-9]+).*\(\s*([a-z]+)\s*\)$')
+      THEN 'contest ' || regexp_extract(s, '^0*([0-9]+).*\(\s*([a-z]+)\s*\)$', 2) || '/' || regexp_extract(s, '^0*([0-9]+).*\(\s*([a-z]+)\s*\)$', 1)
+    ELSE 'contest ' || lower(trim(problem_id)) END AS key
+  FROM n),
+g AS (SELECT sample_id, min(sample_id) OVER (PARTITION BY key) AS group_id, count(*) OVER (PARTITION BY key) AS n FROM k WHERE key IS NOT NULL)
+SELECT sample_id, group_id FROM g WHERE n > 1""",
+)
+def p6_found(spark, sf):
+    """Samples of one contest or problem, by union-find over the entities that their ids name."""
+    samples = table(spark, sf, "dataset_samples")
+    return entities.related(samples, "sample_id", [entities.entity_of(F.col("dataset"), F.col("problem_id"))]).select(F.col("node").alias("sample_id"), F.col("root").alias("group_id"))
+
+
+@R.add("p6_splits")
+def p6_splits(spark, sf):
+    """Group-preserving splits of all samples in the shares of each row of split_meta."""
+    samples = table(spark, sf, "dataset_samples")
+    key = entities.entity_of(F.col("dataset"), F.col("problem_id"))
+    out = None
+    metas = table(spark, sf, "split_meta").groupBy("dataset", "train_share", "valid_share", "test_share").agg(F.min("meta_id").alias("meta_id"), F.min(F.col("sampling.seed")).alias("seed")).orderBy("meta_id")
+    for shares in collect_bounded(metas, 1000, "split_meta"):
+        family = F.col("dataset").startswith("codecontests") if shares["dataset"] == "code_contests" else F.col("dataset") == shares["dataset"]
+        part = entities.group_splits(samples.filter(family), "sample_id", key, {n: shares[f"{n}_share"] for n in ("train", "valid", "test")}, shares["seed"] or 0).select(F.lit(shares["meta_id"]).cast("bigint").alias("meta_id"), "sample_id", "group_id", "split")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = R.queries
 ORACLES = R.oracles
