@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import gc
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once an application, so that tasks can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        folder = tempfile.mkdtemp(prefix="corpusmill-package-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/corpusmill", "zip", _PACKAGE.parent, _PACKAGE.name))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,9 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, lineage cut."""
+    """``df`` computed once and kept in the shared checkpoint folder, lineage cut.
+
+    The shuffle files of the plan that led here are no longer needed; a collection of the
+    driver's garbage lets Spark's cleaner delete them at once, not at its next round.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    kept.sparkSession._jvm.System.gc()
+    return kept
 
 
 def estimated_bytes(df: DataFrame) -> int:
