@@ -28,21 +28,15 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
         part = N.prepared(records, id_col, col, k)
         docs = part if docs is None else docs.unionByName(part)
     sketch = N.frequency_sketch(docs, shingle, min_words, N.sketch_bits(records))
+    # every step keeps only what later ones read; what it replaces is freed with its shuffles
     rows = N.cut(N.prefixes(docs, sketch, shingle, min_words, threshold))
-    members = rows.select("id", "cls")
-    postings = N.postings(rows)
-    a, b = postings.alias("a"), postings.alias("b")
-    pairs = N.cut(
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & N.near_enough("a", "b", threshold))
-        .select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))
-        .distinct()
-    )
+    members = N.cut(rows.select("id", "salt", "cls"))
+    pairs = N.cut(_candidates(N.postings(rows), threshold))
+    del rows
     ends = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
     parts = N.cut(N.token_sets(docs, ends, members, shingle, min_words, sketch, fragments))
-    left = parts.select(F.col("cls").alias("x"), "fragment", F.col("tokens").alias("xt"), F.col("size").alias("xs"))
-    right = parts.select(F.col("cls").alias("y"), "fragment", F.col("tokens").alias("yt"), F.col("size").alias("ys"))
-    partial = pairs.join(left, "x").join(right, ["y", "fragment"]).select("x", "y", "xs", "ys", F.size(F.array_intersect("xt", "yt")).alias("part"))
-    near = partial.groupBy("x", "y", "xs", "ys").agg(F.sum("part").alias("both")).filter(F.expr(f"both >= {threshold!r}D * (xs + ys - both) - 1e-9D"))
+    near = N.cut(_overlapping(pairs, parts, threshold))
+    del parts, ends, pairs
     heads = N.cut(members.groupBy("cls").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
     equal = members.join(heads.filter("n > 1"), "cls").filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
     linked = (
@@ -51,3 +45,17 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
         .select("u", "v")
     )
     return groups(equal.unionByName(linked)).select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
+
+
+def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
+    a, b = postings.alias("a"), postings.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & N.near_enough("a", "b", threshold))
+    return met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
+
+
+def _overlapping(pairs: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that reach the threshold: overlaps counted in each fragment, then summed."""
+    left = parts.select(F.col("cls").alias("x"), "fragment", F.col("tokens").alias("xt"), F.col("size").alias("xs"))
+    right = parts.select(F.col("cls").alias("y"), "fragment", F.col("tokens").alias("yt"), F.col("size").alias("ys"))
+    partial = pairs.join(left, "x").join(right, ["y", "fragment"]).select("x", "y", "xs", "ys", F.size(F.array_intersect("xt", "yt")).alias("part"))
+    return partial.groupBy("x", "y", "xs", "ys").agg(F.sum("part").alias("both")).filter(F.expr(f"both >= {threshold!r}D * (xs + ys - both) - 1e-9D")).select("x", "y")

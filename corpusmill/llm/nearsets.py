@@ -50,17 +50,33 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int, min_words: int):
                 yield part, a, b, count, per, tok
 
 
+_opened: dict[int, np.ndarray] = {}
+
+
+def _cells(shared) -> np.ndarray:
+    """The table of a broadcast sketch, unpacked once a worker process."""
+    key = shared.value[0]
+    if key not in _opened:
+        _opened.clear()
+        _opened[key] = np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value[1]), np.uint8)
+    return _opened[key]
+
+
 class FrequencySketch:
-    """Broadcast counts of shingle hashes on a logarithmic one-byte scale (16 steps an octave)."""
+    """Broadcast counts of shingle hashes on a logarithmic one-byte scale (16 steps an octave).
+
+    The table travels packed, since most of its cells hold 0 or a small rank.
+    """
 
     def __init__(self, spark, cells: bytes, bits: int):
         self.bits = bits
-        self.value = spark.sparkContext.broadcast(cells)
+        packed = zstandard.ZstdCompressor(level=3).compress(cells)
+        self.value = spark.sparkContext.broadcast((hash(packed), packed))
 
     def rank(self):
         """A function for tasks: tokens -> one-byte frequency rank; 0 means seen once at most."""
         value, shift = self.value, TOKEN_BITS - self.bits
-        return lambda tok: np.frombuffer(value.value, np.uint8)[tok >> shift]
+        return lambda tok: _cells(value)[tok >> shift]
 
 
 def frequency_sketch(docs: DataFrame, n: int, min_words: int, bits: int) -> FrequencySketch:
@@ -128,7 +144,7 @@ def _classes(per: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, sketch: FrequencySketch, n: int, min_words: int, threshold: float) -> DataFrame:
-    """(id, cls, size, tokens, pos) of every row with at least ``min_words`` words.
+    """(id, salt, cls, size, tokens, pos) of every row with at least ``min_words`` words.
 
     ``tokens`` is the row's prefix in the global order, ``pos`` each token's place in it.
     Tokens that the sketch has seen once only can meet no other row and are left out, so
@@ -149,11 +165,11 @@ def prefixes(docs: DataFrame, sketch: FrequencySketch, n: int, min_words: int, t
             at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=b - a)[some]))).astype(np.int32))
             idx = pa.array(some)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").slice(a, b - a).take(idx), pa.array(cls[some]), pa.array(per[some].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(tok[order][keep])), pa.ListArray.from_arrays(at, pa.array(pos[keep].astype(np.int32)))],
-                ["id", "cls", "size", "tokens", "pos"],
+                [part.column("id").slice(a, b - a).take(idx), part.column("salt").slice(a, b - a).take(idx), pa.array(cls[some]), pa.array(per[some].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(tok[order][keep])), pa.ListArray.from_arrays(at, pa.array(pos[keep].astype(np.int32)))],
+                ["id", "salt", "cls", "size", "tokens", "pos"],
             )
 
-    return docs.mapInArrow(run, "id bigint, cls bigint, size int, tokens array<bigint>, pos array<int>")
+    return docs.mapInArrow(run, "id bigint, salt bigint, cls bigint, size int, tokens array<bigint>, pos array<int>")
 
 
 def postings(rows: DataFrame, *keys: str) -> DataFrame:
@@ -172,24 +188,27 @@ def near_enough(a: str, b: str, threshold: float):
     )
 
 
-def token_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, min_words: int, sketch: FrequencySketch | None = None, fragments: int = 1) -> DataFrame:
+def token_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, min_words: int, sketch: FrequencySketch, fragments: int = 1) -> DataFrame:
     """(cls, fragment, tokens, size) of the named classes, from the text of one member of each.
 
-    With ``fragments`` > 1 each set is cut where the global order (frequency rank, then
-    hash) passes the given number of equally wide rank ranges.
+    ``size`` counts all shingles of the set; ``tokens`` leaves out those that the sketch
+    has seen once only, which no two sets share.  With ``fragments`` > 1 each set is cut
+    where the global order (frequency rank, then hash) passes the given number of equally
+    wide rank ranges; empty fragments have no row.
     """
-    reps = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    chosen = docs.join(reps, "id", "left_semi")
-    rank_of = sketch.rank() if sketch and fragments > 1 else None
+    reps = members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "salt")).alias("m")).select("m.id", "m.salt")
+    chosen = docs.join(reps, ["id", "salt"], "left_semi")
+    rank_of = sketch.rank()
 
     def run(batches):
         for part, a, b, count, per, tok in _rows(batches, n, min_words):
+            cls, _ = _classes(per, tok)
+            rank = rank_of(tok)
+            row = np.repeat(np.arange(b - a), per)[rank > 0]
+            tok, rank = tok[rank > 0], rank[rank > 0]
             if not len(tok):
                 continue
-            cls, _ = _classes(per, tok)
-            row = np.repeat(np.arange(b - a), per)
-            frag = np.zeros(len(tok), np.int64) if rank_of is None else np.minimum(fragments - 1, rank_of(tok).astype(np.int64) * fragments // 128)
-            cell = row * fragments + frag
+            cell = row * fragments + np.minimum(fragments - 1, rank.astype(np.int64) * fragments // 128)
             order = np.lexsort((tok, cell))
             cells, at = np.unique(cell[order], return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(tok)).astype(np.int32)), pa.array(tok[order]))

@@ -40,7 +40,7 @@ def cross_split_pairs(samples: DataFrame, manifest: DataFrame, threshold: float
     sketch = N.frequency_sketch(docs, shingle, min_words, N.sketch_bits(samples))
     sides = splits_of(manifest).select("id", (F.col("split") == "train").alias("train"))
     sided = N.cut(N.prefixes(docs, sketch, shingle, min_words, threshold).join(sides, "id"))
-    members = sided.select("id", "cls", "train")
+    members = sided.select("id", "salt", "cls", "train")
     index = N.postings(sided.filter("NOT train"), "train").alias("e")
     probe = N.postings(sided.filter("train"), "train").alias("t")
     pairs = N.cut(
@@ -49,11 +49,11 @@ def cross_split_pairs(samples: DataFrame, manifest: DataFrame, threshold: float
         .distinct()
     )
     ends = pairs.select(F.explode(F.array("t", "e")).alias("cls")).distinct()
-    sets = N.cut(N.token_sets(docs, ends, members.select("id", "cls"), shingle, min_words))
+    sets = N.cut(N.token_sets(docs, ends, members, shingle, min_words, sketch))
     near = (
-        pairs.join(sets.select(F.col("cls").alias("t"), F.col("tokens").alias("tt")), "t")
-        .join(sets.select(F.col("cls").alias("e"), F.col("tokens").alias("et")), "e")
-        .select("t", "e", F.size(F.array_intersect("tt", "et")).alias("both"), (F.size("tt") + F.size("et")).alias("all"))
+        pairs.join(sets.select(F.col("cls").alias("t"), F.col("tokens").alias("tt"), F.col("size").alias("ts")), "t")
+        .join(sets.select(F.col("cls").alias("e"), F.col("tokens").alias("et"), F.col("size").alias("es")), "e")
+        .select("t", "e", F.size(F.array_intersect("tt", "et")).alias("both"), (F.col("ts") + F.col("es")).alias("all"))
         .filter(F.expr(f"both >= {threshold!r}D * (all - both) - 1e-9D"))
         .select("t", "e")
     )
