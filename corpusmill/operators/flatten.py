@@ -156,7 +156,11 @@ def flatten_samples(samples: DataFrame, rec_table: str = "dataset_samples") -> D
 
 
 def children(tagged: DataFrame) -> DataFrame:
-    """(rec_table, rec_id, child_kind, parent_pos, pos) of all elements, records themselves left out."""
+    """(rec_table, rec_id, child_kind, parent_pos, pos) of all elements, records themselves left out.
+
+    A record that holds tests in both their places gives the places of both; the keys of
+    ``tagged`` tell them apart, this view need not.
+    """
     return tagged.filter("tag <> 'record'").select("rec_table", "rec_id", F.col("tag").alias("child_kind"), "parent_pos", "pos")
 
 
