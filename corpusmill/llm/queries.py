@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusmill.functions.runtime import collect_bounded, table
 from pyspark.sql import functions as F
 
-from corpusmill.llm import entities, neargroups, overlap
+from corpusmill.llm import defects, entities, leakage, neargroups, overlap, packing, sampling, splitting
 from corpusmill.plans.registry import Registry
 
 R = Registry()
@@ -67,5 +67,57 @@ def p6_splits(spark, sf):
     return out
 
 
+@R.add("p3_found")
+def p3_found(spark, sf):
+    """Defective prompt and response pairs with the type of the defect."""
+    return defects.defective_pairs(table(spark, sf, "per_problem"))
+
+
+@R.add("p4_sample")
+def p4_sample(spark, sf):
+    """The growing-stable sample of problems for each row of split_meta."""
+    sample, _ = sampling.consistent_sample(sampling.manifest_arrivals(table(spark, sf, "manifest"), table(spark, sf, "split_meta")))
+    return sample.select(F.col("stratum").alias("meta_id"), "seed", F.col("key").alias("problem_key"), "weight", F.round("chance", 9).alias("chance"))
+
+
+@R.add("p7_pack")
+def p7_pack(spark, sf):
+    """Every document's place in a container, for each pack limit."""
+    return packing.pack_documents(table(spark, sf, "documents"), table(spark, sf, "token_limits"))
+
+
+@R.add("p7_fill")
+def p7_fill(spark, sf):
+    """Containers and used space of each pack limit."""
+    limits = table(spark, sf, "token_limits")
+    return packing.fill_report(packing.pack_documents(table(spark, sf, "documents"), limits), limits)
+
+
+@R.add("p8_found")
+def p8_found(spark, sf):
+    """Documents that share 16 consecutive words with a held-out item."""
+    return leakage.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "heldout_items")).select("doc_id", "item_id").distinct()
+
+
+@R.add("p8_spans")
+def p8_spans(spark, sf):
+    """The word spans to remove from each document."""
+    return leakage.removal_spans(leakage.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "heldout_items")))
+
+
+@R.add("p9_found")
+def p9_found(spark, sf):
+    """Documents of more tokens than the smallest split limit, as the splitter cuts them."""
+    limit = collect_bounded(table(spark, sf, "token_limits").filter("purpose = 'split'").orderBy("max_tokens", "limit_id"), 100, "split limits")[0]
+    pieces = splitting.split_documents(table(spark, sf, "documents"), limit["max_tokens"], limit["overlap_tokens"] or 0)
+    return pieces.filter("piece = 0").select("doc_id")
+
+
+@R.add("p9_pieces")
+def p9_pieces(spark, sf):
+    """All pieces of oversized documents, for each split limit."""
+    return splitting.split_by_limits(table(spark, sf, "documents"), table(spark, sf, "token_limits"))
+
+
 QUERIES = R.queries
 ORACLES = R.oracles
