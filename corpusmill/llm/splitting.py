@@ -50,7 +50,7 @@ def boundary_letters(text: str, path: str = TOKENIZER) -> tuple[str, np.ndarray]
     letter[_SPACE[after] | _SPACE[b1]] = "w"
     letter[(_PAUSE[b1] & _SPACE[after]) | wide_pause] = "c"
     letter[((_STOP[b1] | closing) & _SPACE[after]) | wide_stop] = "s"
-    letter[line & ~((b2 == 13) & (b1 == 10) & False)] = "n"
+    letter[line] = "n"
     letter[line & (np.isin(b2, [10, 13]) & ~((b2 == 13) & (b1 == 10)) | ((b2 == 13) & (b1 == 10) & (b3 == 10)))] = "p"
     letter[(b1 == 13) & (after == 10) & ~after_at_end] = "i"  # never between the two marks of one line end
     inner = (after & 0xC0) == 0x80
