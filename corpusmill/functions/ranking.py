@@ -25,3 +25,20 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "rank", c
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return placed.withColumn("__k", F.row_number().over(within) - 1).join(starts, cond).withColumn(name, (F.col("__start") + F.col("__k")).cast("bigint")).select(*df.columns, name)
+
+
+def ranked_in_order(df: DataFrame, key: str, name: str = "rank", cells: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the 0-based place of each row in the order of a unique number ``key``.
+
+    The key's range is cut at approximate quantiles, which become constants of the plan;
+    rows are ranked within a range and shifted by the counts of the ranges below.  Null
+    keys come first.
+    """
+    cells = cells or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = df.agg(F.percentile_approx(key, [i / cells for i in range(1, cells)], 10_000).alias("b")).first()["b"] or []
+    cell = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    placed = df.withColumn("__cell", F.coalesce(cell, F.lit(-1)))
+    counts = placed.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select(F.col("__cell").alias("__at"), F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__cell").orderBy(key)) - 1
+    return placed.withColumn("__k", within).join(starts, F.col("__cell") == F.col("__at")).withColumn(name, (F.col("__start") + F.col("__k")).cast("bigint")).select(*df.columns, name)

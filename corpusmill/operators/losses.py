@@ -49,7 +49,10 @@ def token_sums(df: DataFrame, arrays: list[str], mask: str, formulas: Callable[.
     parts = F.transform(kept, lambda p: F.struct(*[v.cast("double").alias(k) for k, v in formulas({a: p[a].cast("double") for a in arrays}).items()]))
     out = df.select(*keep, kept.alias("__kept"), parts.alias("__parts"))
     names = list(formulas({a: F.lit(0.0) for a in arrays}))
-    sums = [F.aggregate(F.col("__parts"), F.lit(0.0), lambda acc, p, n=n: acc + p[n]).alias(n) for n in names]
+    def total(name: str) -> Column:
+        return F.aggregate(F.col("__parts"), F.lit(0.0), lambda acc, p: acc + p[name])
+
+    sums = [total(n).alias(n) for n in names]
     return out.select(*keep, F.size("__kept").cast("double").alias("n"), *sums)
 
 

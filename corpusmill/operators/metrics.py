@@ -121,7 +121,7 @@ def majority_value(rows: DataFrame, keys: list[str], pred="pred", value="score",
 
 def draw_sizes(n: Column) -> Column:
     """2, 4, 8 ... below n, then n itself, for n > 1."""
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.shiftleft(F.lit(1).cast("bigint"), k)), lambda p: p < n)
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.pow(F.lit(2.0), k).cast("bigint")), lambda p: p < n)
     return F.when(n > 1, F.concat(powers, F.array(n.cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -235,3 +235,9 @@ def prefix_groups(rows: DataFrame, uid="uid", batch="batch", key="idx") -> DataF
     fresh = F.when(F.col(uid).eqNullSafe(F.lag(uid).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     numbered = rows.withColumn("__new", fresh).withColumn("grp", F.sum("__new").over(w) - 1)
     return numbered.groupBy(batch, "grp", uid).agg(F.min(key).alias("first_idx"), F.count(F.lit(1)).alias("rows"))
+
+
+def dense_flops(length: str, parameters: float, layers: int, heads: int, head_dim: int) -> Column:
+    """Aggregate: operations of a training step over sequences: 6 N a token and 12 * heads * dim * layers * n^2 of attention."""
+    n = F.col(length).cast("double")
+    return 6.0 * parameters * F.sum(n) + 12.0 * head_dim * heads * layers * F.sum(n * n)

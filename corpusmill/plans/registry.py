@@ -28,3 +28,6 @@ class Registry:
             return fn
 
         return register
+
+
+REGISTRY = Registry()
