@@ -10,21 +10,52 @@ from corpusmill.plans.registry import Registry
 
 R = Registry()
 
+_SHINGLES = r"""{name} AS (
+  SELECT sample_id, s FROM (
+    SELECT sample_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s
+    FROM (SELECT sample_id, regexp_extract_all(lower({column}), '[a-z0-9]+') AS w FROM dataset_samples WHERE {column} IS NOT NULL) WHERE len(w) >= 20)),
+{name}_n AS (SELECT sample_id, count(*) AS n FROM {name} GROUP BY sample_id),
+{name}_near AS (
+  SELECT c.a, c.b FROM (SELECT x.sample_id AS a, y.sample_id AS b, count(*) AS k FROM {name} x JOIN {name} y ON x.s = y.s AND x.sample_id < y.sample_id GROUP BY 1, 2) c
+  JOIN {name}_n p ON p.sample_id = c.a JOIN {name}_n q ON q.sample_id = c.b WHERE c.k >= 0.7 * (p.n + q.n - c.k) - 1e-9)"""
 
-@R.add("p1_found")
+_SPLITS = """sp AS (SELECT sample_id, min(CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('valid', 'val', 'validation', 'dev', 'development') THEN 'valid'
+  WHEN lower(trim(split)) IN ('test', 'testing') THEN 'test' END) AS split FROM manifest GROUP BY sample_id)"""
+
+_P1 = f"WITH {_SHINGLES.format(name='sh', column='prompt')}, {_SPLITS}, found AS (SELECT a AS sample_id_a, b AS sample_id_b, x.split AS sa, y.split AS sb FROM sh_near JOIN sp x ON x.sample_id = a JOIN sp y ON y.sample_id = b WHERE x.split IS NOT NULL AND y.split IS NOT NULL AND (x.split = 'train') <> (y.split = 'train'))"
+
+_P8 = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM heldout_items WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 15], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 14)) AS k FROM iw WHERE len(w) >= 16)),
+d AS (SELECT doc_id, k, array_to_string(w[k:k + 15], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 14)) AS k FROM dw WHERE len(w) >= 16)),
+hits AS (SELECT DISTINCT d.doc_id, i.item_id, d.k - 1 AS pos FROM d JOIN i ON i.g = d.g)"""
+
+
+@R.add("p1_found", _P1 + " SELECT sample_id_a, sample_id_b FROM found")
 def p1_found(spark, sf):
     """Near pairs of prompts across train and valid or test."""
     return overlap.cross_split_pairs(table(spark, sf, "dataset_samples"), table(spark, sf, "manifest"))
 
 
-@R.add("p1_report")
+@R.add(
+    "p1_report",
+    _P1
+    + """, e AS (SELECT CASE WHEN sa = 'train' THEN sb ELSE sa END AS split, CASE WHEN sa = 'train' THEN sample_id_b ELSE sample_id_a END AS ev, CASE WHEN sa = 'train' THEN sample_id_a ELSE sample_id_b END AS tr FROM found)
+SELECT e.split, x.dataset AS dataset, y.dataset AS train_dataset, count(*) AS pairs, count(DISTINCT ev) AS eval_records, count(DISTINCT tr) AS train_records
+FROM e JOIN dataset_samples x ON x.sample_id = ev JOIN dataset_samples y ON y.sample_id = tr GROUP BY 1, 2, 3""",
+)
 def p1_report(spark, sf):
     """Counts of the cross-split overlaps by split and dataset."""
     samples, manifest = table(spark, sf, "dataset_samples"), table(spark, sf, "manifest")
     return overlap.overlap_report(overlap.cross_split_pairs(samples, manifest), samples, manifest)
 
 
-@R.add("p2_found")
+@R.add(
+    "p2_found",
+    f"""WITH RECURSIVE {_SHINGLES.format(name='sp', column='prompt')}, {_SHINGLES.format(name='sd', column='description')},
+e AS (SELECT a, b FROM sp_near UNION SELECT a, b FROM sd_near UNION SELECT b, a FROM sp_near UNION SELECT b, a FROM sd_near),
+r AS (SELECT DISTINCT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT node AS sample_id, min(reached) AS group_id FROM r GROUP BY node""",
+)
 def p2_found(spark, sf):
     """Groups of records with near prompts or near descriptions."""
     return neargroups.near_groups(table(spark, sf, "dataset_samples"), "sample_id", ["prompt", "description"], 0.7, 3, 20)
@@ -73,7 +104,22 @@ def p3_found(spark, sf):
     return defects.defective_pairs(table(spark, sf, "per_problem"))
 
 
-@R.add("p4_sample")
+_KEY = r"""CASE WHEN s = '' THEN NULL WHEN dataset = 'code_contests' AND regexp_matches(s, '^[a-z]+(?:[^a-z0-9]+contest)?[^a-z0-9]*[0-9]+(?:[^a-z0-9]+problem)?[^a-z0-9]*([a-z][0-9]*)$')
+    THEN regexp_extract(s, '^([a-z]+)', 1) || '/' || regexp_extract(s, '^[a-z]+(?:[^a-z0-9]+contest)?[^a-z0-9]*0*([0-9]+)', 1) || '/' || regexp_extract(s, '([a-z][0-9]*)$', 1)
+  WHEN dataset = 'code_contests' AND regexp_matches(s, '^[0-9]+[^a-z0-9]*([a-z][0-9]*)\..*\(\s*[a-z]+\s*\)$')
+    THEN regexp_extract(s, '\(\s*([a-z]+)\s*\)$', 1) || '/' || regexp_extract(s, '^0*([0-9]+)', 1) || '/' || regexp_extract(s, '^[0-9]+[^a-z0-9]*([a-z][0-9]*)\.', 1) ELSE s END"""
+
+
+@R.add(
+    "p4_sample",
+    f"""WITH n AS (SELECT *, lower(trim(regexp_replace(problem_id, '\\s+', ' ', 'g'))) AS s FROM manifest), i AS (SELECT dataset, {_KEY} AS key, sample_id, min(version) AS version FROM n WHERE version IS NOT NULL GROUP BY 1, 2, 3),
+a AS (SELECT meta_id, sampling.seed AS seed, key, greatest(version, strftime(created_at, '%Y%m%d_%H%M%S')) AS v, count(*) AS w, sampling.requested_valid_big_size AS size, sampling.fraction AS fraction
+  FROM i JOIN split_meta m ON m.dataset = i.dataset WHERE key IS NOT NULL AND (sampling.prefix IS NULL OR starts_with(key, lower(trim(sampling.prefix)))) GROUP BY ALL),
+t AS (SELECT meta_id, v, sum(sum(w)) OVER (PARTITION BY meta_id ORDER BY v) AS total FROM a GROUP BY meta_id, v),
+o AS (SELECT a.*, t.total, sum(w) OVER (PARTITION BY a.meta_id, key ORDER BY a.v) AS own FROM a JOIN t ON t.meta_id = a.meta_id AND t.v = a.v),
+c AS (SELECT meta_id, seed, key, max(own) AS weight, max(least(1.0, own * least(1.0, coalesce(fraction, size / total, 0.0)))) AS chance FROM o GROUP BY 1, 2, 3)
+SELECT meta_id, seed, key AS problem_key, CAST(weight AS DOUBLE) AS weight, round(CAST(chance AS DOUBLE), 9) AS chance FROM c WHERE CAST('0x' || substr(sha256(coalesce(CAST(seed AS VARCHAR), '') || '|' || key), 1, 13) AS BIGINT) / 4503599627370496.0 < chance""",
+)
 def p4_sample(spark, sf):
     """The growing-stable sample of problems for each row of split_meta."""
     sample, _ = sampling.consistent_sample(sampling.manifest_arrivals(table(spark, sf, "manifest"), table(spark, sf, "split_meta")))
@@ -93,13 +139,19 @@ def p7_fill(spark, sf):
     return packing.fill_report(packing.pack_documents(table(spark, sf, "documents"), limits), limits)
 
 
-@R.add("p8_found")
+@R.add("p8_found", _P8 + " SELECT DISTINCT doc_id, item_id FROM hits")
 def p8_found(spark, sf):
     """Documents that share 16 consecutive words with a held-out item."""
     return leakage.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "heldout_items")).select("doc_id", "item_id").distinct()
 
 
-@R.add("p8_spans")
+@R.add(
+    "p8_spans",
+    _P8
+    + """, s AS (SELECT DISTINCT doc_id, pos FROM hits), m AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 16 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM m)
+SELECT doc_id, min(pos) AS start_word, max(pos) + 16 AS end_word FROM g GROUP BY doc_id, grp""",
+)
 def p8_spans(spark, sf):
     """The word spans to remove from each document."""
     return leakage.removal_spans(leakage.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "heldout_items")))
