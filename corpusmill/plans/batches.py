@@ -136,7 +136,7 @@ def u7_unfold(spark, sf):
     return B.unfold(B.fold(_orders(spark, sf), 10, "o_custkey"), 10, "o_custkey")
 
 
-@R.add("u8_pad_to_divisor", f"WITH {_O}, n AS (SELECT count(*) AS n FROM orders_) SELECT idx, o_custkey FROM orders_ UNION ALL SELECT n + idx, o_custkey FROM orders_, n WHERE idx < (4096 - n % 4096) % 4096")
+@R.add("u8_pad_to_divisor", f"WITH {_O}, n AS (SELECT count(*) AS n FROM orders_) SELECT idx, o_custkey FROM orders_ UNION ALL SELECT n + k, o_custkey FROM n, range(4096) AS r(k), orders_ WHERE k < (4096 - n % 4096) % 4096 AND idx = k % n")
 def u8_pad_to_divisor(spark, sf):
     o = _orders(spark, sf).select("idx", "o_custkey")
     return B.pad_to_divisor(o, 4096, _size(o))[0]

@@ -16,11 +16,12 @@ def _group_sql(expr: str, extra: str = "") -> str:
   SELECT idx, uid, score, length, count(*) OVER w AS n, avg(score) OVER w AS mean, stddev_samp(score) OVER w AS std, var_samp(score) OVER w AS var,
          sum(score) OVER w AS total, sum(score * length) OVER w AS weighted, sum(length) OVER w AS len{extra}
   FROM rollouts WINDOW w AS (PARTITION BY uid))
-SELECT idx, uid, round({expr}, 6) + 0.0 AS advantage FROM g"""
+SELECT idx, uid, round({expr}, 8) + 0.0 AS advantage FROM g"""
 
 
 def _advantage(df):
-    return df.select("idx", "uid", r6("advantage").alias("advantage"))
+    # eight decimals: means of few two-decimal scores can end in a tie at the sixth
+    return df.select("idx", "uid", (F.round("advantage", 8) + 0.0).alias("advantage"))
 
 
 @R.add("w2_grpo", _group_sql("(score - CASE WHEN n = 1 THEN 0 ELSE mean END) / (CASE WHEN n = 1 THEN 1 ELSE std END + 1e-6)"))
@@ -43,7 +44,7 @@ def w3_grpo_floored(spark, sf):
     f"""WITH {ROLLOUTS}, big AS (SELECT * FROM rollouts QUALIFY count(*) OVER (PARTITION BY uid) > 1),
 g AS (SELECT idx, uid, score, row_number() OVER o AS r, lead(score) OVER o AS second, stddev_samp(score) OVER (PARTITION BY uid) AS std
       FROM big WINDOW o AS (PARTITION BY uid ORDER BY score DESC, idx))
-SELECT idx, uid, round(CASE WHEN r = 1 THEN (score - second) / (std + 1e-6) ELSE 0.0 END, 6) + 0.0 AS advantage FROM g""",
+SELECT idx, uid, round(CASE WHEN r = 1 THEN (score - second) / (std + 1e-6) ELSE 0.0 END, 8) + 0.0 AS advantage FROM g""",
 )
 def w4_grpo_passk(spark, sf):
     from pyspark.sql import Window

@@ -67,7 +67,7 @@ def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A file is read as a whole by one task, since only that knows line numbers; meant for
     checking delivered files of moderate size.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     body = F.from_json("text", schema)
     return whole.filter(F.trim("text") != "").select("file", (F.col("line") + 1).alias("line"), body.alias("record"), F.get_json_object("text", "$").isNotNull().alias("ok"))
 
