@@ -90,27 +90,37 @@ def greedy_counts(sizes: list[tuple[int, int]], shares: list[float]) -> dict[int
     return out
 
 
-def group_splits(records: DataFrame, id_col: str, key, shares: dict[str, float], seed: int = 0) -> DataFrame:
-    """(id, group_id, split): every record in one split, related records never apart.
+def memberships(records: DataFrame, id_col: str, keys: list) -> DataFrame:
+    """(node, root) of every record, those without relatives as groups of one; null ids are left out."""
+    ids = records.select(F.col(id_col).cast("bigint").alias("node")).filter("node IS NOT NULL").distinct()
+    return cut(ids.join(related(records, id_col, keys), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
-    Groups are placed largest first into the split furthest below its share.  Only the
-    histogram of group sizes reaches the driver (see ``MAX_SIZES``); which groups of a
-    size go where follows from their rank by a seeded hash.  Records without relatives,
-    null keys among them, are groups of one.  A group larger than a share stays whole, so
-    that share is then exceeded.  Null ids are left out; repeated ids count once.
+
+def assign_groups(members: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
+    """(node, root, split): the groups of ``memberships`` placed largest first into the split furthest below its share.
+
+    Only the histogram of group sizes reaches the driver (see ``MAX_SIZES``); which groups
+    of a size go where follows from their rank by a seeded hash.
     """
-    ids = records.select(F.col(id_col).cast("bigint").alias("node")).filter("node IS NOT NULL").distinct()
-    members = cut(ids.join(related(records, id_col, [key]), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     sized = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     rows = collect_bounded(sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")), MAX_SIZES, "distinct group sizes")
     names = list(shares)
     plan = greedy_counts([(r["size"], r["n"]) for r in rows], [shares[n] for n in names])
     table = [(s, *[sum(got[: i + 1]) for i in range(len(names))]) for s, got in plan.items()]
-    spark = records.sparkSession
-    ends = spark.createDataFrame(table, "size bigint, " + ", ".join(f"end{i} bigint" for i in range(len(names))))
+    ends = members.sparkSession.createDataFrame(table, "size bigint, " + ", ".join(f"end{i} bigint" for i in range(len(names))))
     hashed = sized.withColumn("h", F.xxhash64(F.lit(seed), "root"))
     placed = ranked(hashed, ["size"], ["h", "root"]).join(ends, "size")
     split = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
         split = F.when(F.col("rank") < F.col(f"end{i}"), names[i]).otherwise(split)
-    return members.join(placed.select("root", split.alias("split")), "root").select(F.col("node").alias(id_col), F.col("root").alias("group_id"), "split")
+    return members.join(placed.select("root", split.alias("split")), "root").select("node", "root", "split")
+
+
+def group_splits(records: DataFrame, id_col: str, key, shares: dict[str, float], seed: int = 0) -> DataFrame:
+    """(id, group_id, split): every record in one split, related records never apart.
+
+    Groups go by ``assign_groups``.  Records without relatives, null keys among them, are
+    groups of one.  A group larger than a share stays whole, so that share is then
+    exceeded.  Null ids are left out; repeated ids count once.
+    """
+    return assign_groups(memberships(records, id_col, [key]), shares, seed).select(F.col("node").alias(id_col), F.col("root").alias("group_id"), "split")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.functions.runtime import collect_bounded, table
 from pyspark.sql import functions as F
 
+from corpusmill.functions import runtime
+from corpusmill.functions.runtime import collect_bounded, table
 from corpusmill.llm import defects, entities, leakage, neargroups, overlap, packing, sampling, splitting
 from corpusmill.plans.registry import Registry
 
@@ -88,12 +89,17 @@ def p6_found(spark, sf):
 def p6_splits(spark, sf):
     """Group-preserving splits of all samples in the shares of each row of split_meta."""
     samples = table(spark, sf, "dataset_samples")
-    key = entities.entity_of(F.col("dataset"), F.col("problem_id"))
+    # related records share a family, so the groups are found once for all rows of split_meta
+    members = entities.memberships(samples, "sample_id", [entities.entity_of(F.col("dataset"), F.col("problem_id"))])
+    family = F.when(F.col("dataset").startswith("codecontests"), "code_contests").otherwise(F.col("dataset"))
+    placed = members.join(samples.select(F.col("sample_id").alias("node"), family.alias("family")).distinct(), "node")
+    placed = runtime.cut(placed)
     out = None
     metas = table(spark, sf, "split_meta").groupBy("dataset", "train_share", "valid_share", "test_share").agg(F.min("meta_id").alias("meta_id"), F.min(F.col("sampling.seed")).alias("seed")).orderBy("meta_id")
     for shares in collect_bounded(metas, 1000, "split_meta"):
-        family = F.col("dataset").startswith("codecontests") if shares["dataset"] == "code_contests" else F.col("dataset") == shares["dataset"]
-        part = entities.group_splits(samples.filter(family), "sample_id", key, {n: shares[f"{n}_share"] for n in ("train", "valid", "test")}, shares["seed"] or 0).select(F.lit(shares["meta_id"]).cast("bigint").alias("meta_id"), "sample_id", "group_id", "split")
+        some = placed.filter(F.col("family") == shares["dataset"]).select("node", "root")
+        part = entities.assign_groups(some, {n: shares[f"{n}_share"] for n in ("train", "valid", "test")}, shares["seed"] or 0)
+        part = part.select(F.lit(shares["meta_id"]).cast("bigint").alias("meta_id"), F.col("node").alias("sample_id"), F.col("root").alias("group_id"), "split")
         out = part if out is None else out.unionByName(part)
     return out
 
