@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import nearsets as N
 from corpusmill.llm.graph import groups
 
 
-def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, shingle: int = 5, min_words: int = 20, fragments: int = 8) -> DataFrame:
+#: Postings of one shingle beyond which its pairs are found by way of heads and components.
+HOT_POSTINGS = 1000
+
+
+def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, shingle: int = 5, min_words: int = 20, fragments: int = 8, hot: int = HOT_POSTINGS) -> DataFrame:
     """(id, group_id): every record linked to another, with the smallest id of its group.
 
     Two records are linked if any of their ``text_cols`` (each compared with itself only)
@@ -20,6 +24,10 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
 
     Equal texts form one class, which takes part once; members hang on the smallest id
     of their class, so a text that holds a third of all rows yields as many links as rows.
+    A prefix shingle of more than ``hot`` different texts first links each of them to one
+    head; only texts of different components are then compared, so a large group of near
+    copies costs about a pair a text.  No pair of texts in different groups is left out.
+
     Nulls, empty and short texts are linked to nothing; very long texts are taken whole;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -31,12 +39,20 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
     # every step keeps only what later ones read; what it replaces is freed with its shuffles
     rows = N.cut(N.prefixes(docs, sketch, shingle, min_words, threshold))
     members = N.cut(rows.select("id", "salt", "cls"))
-    pairs = N.cut(_candidates(N.postings(rows), threshold))
+    met = N.cut(_met(N.postings(rows), threshold, hot))
     del rows
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    parts = N.cut(N.token_sets(docs, ends, members, shingle, min_words, sketch, fragments))
-    near = N.cut(_overlapping(pairs, parts, threshold))
-    del parts, ends, pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+        parts = N.cut(N.token_sets(docs, ends, members, shingle, min_words, sketch, fragments))
+        return N.cut(_overlapping(pairs, parts, threshold))
+
+    near = verified(met.filter("y IS NOT NULL").select("x", "y"))
+    crowded = met.filter("y IS NULL").select(F.col("x").alias("cls"), "token", "size", "pos")
+    if not crowded.isEmpty():
+        near = near.unionByName(verified(N.cut(_to_heads(crowded, threshold))))
+        near = near.unionByName(verified(N.cut(_across(crowded, groups(near), threshold))))
+    del met, crowded
     heads = N.cut(members.groupBy("cls").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
     equal = members.join(heads.filter("n > 1"), "cls").filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
     linked = (
@@ -47,10 +63,38 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
     return groups(equal.unionByName(linked)).select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
 
 
-def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
-    a, b = postings.alias("a"), postings.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & N.near_enough("a", "b", threshold))
-    return met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
+def _met(postings: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(x, y, ...): candidate pairs of the shingles with few postings, and, with a null y, the postings of the others.
+
+    The count shares the shuffle by shingle with the join that follows.
+    """
+    counted = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    few = counted.filter(F.col("n").between(2, hot))
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & N.near_enough("a", "b", threshold))
+    none = F.lit(None)
+    light = pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct().select("x", "y", none.cast("bigint").alias("token"), none.cast("int").alias("size"), none.cast("int").alias("pos"))
+    return light.unionByName(counted.filter(F.col("n") > hot).select(F.col("cls").alias("x"), none.cast("bigint").alias("y"), "token", "size", "pos"))
+
+
+def _to_heads(crowded: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of each posting with its shingle's head: the posting of median-most size in hash order."""
+    middle = crowded.groupBy("token").agg(F.percentile_approx("size", 0.5).alias("mid"))
+    near_middle = crowded.join(middle, "token").groupBy("token").agg(F.min(F.struct(F.abs(F.col("size") - F.col("mid")).alias("d"), "cls", "size", "pos")).alias("h"))
+    heads = near_middle.select("token", F.col("h.cls").alias("cls"), F.col("h.size").alias("size"), F.col("h.pos").alias("pos"))
+    met = crowded.alias("a").join(heads.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") != F.col("b.cls")) & N.near_enough("a", "b", threshold))
+    return met.select(F.least("a.cls", "b.cls").alias("x"), F.greatest("a.cls", "b.cls").alias("y")).distinct()
+
+
+def _across(crowded: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of crowded shingles between texts of different components; pairs within one are not formed."""
+    label = components.select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+    marked = N.cut(crowded.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    kinds = marked.select("token", "comp").distinct()
+    two = kinds.alias("p").join(kinds.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp"))).select(F.col("p.token").alias("token"), F.col("p.comp").alias("c1"), F.col("q.comp").alias("c2"))
+    left = two.join(marked.alias("a"), (F.col("a.token") == two["token"]) & (F.col("a.comp") == F.col("c1"))).select(two["token"], "c2", F.struct("a.cls", "a.size", "a.pos").alias("a"))
+    met = left.join(marked.alias("b"), (F.col("b.token") == left["token"]) & (F.col("b.comp") == F.col("c2")) & N.near_enough("a", "b", threshold))
+    return met.select(F.least("a.cls", "b.cls").alias("x"), F.greatest("a.cls", "b.cls").alias("y")).distinct()
 
 
 def _overlapping(pairs: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:

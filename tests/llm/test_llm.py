@@ -109,6 +109,35 @@ def test_hot_copies_cost_a_link_each(spark):
     assert got.count() == 1000 and got.select("group_id").distinct().count() == 1
 
 
+@pytest.mark.parametrize("hot", [3, 20, 1000])
+def test_crowded_shingles_lose_no_link(spark, hot):
+    rng = random.Random(12)
+    base = [[f"c{k}w{i}" for i in range(40)] for k in range(4)]
+    texts = []
+    for i in range(240):
+        w = list(base[i % 4 if i % 3 else 0])
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(40)] = f"u{rng.randrange(30)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id bigint, prompt string")
+    s = [shingles(t) for t in texts]
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(240):
+        for j in range(i):
+            if near(s[i], s[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    size = Counter(map(find, range(240)))
+    want = {(i, find(i)) for i in range(240) if size[find(i)] > 1}
+    assert {tuple(r) for r in neargroups.near_groups(df, "sample_id", ["prompt"], 0.7, 3, 20, hot=hot).collect()} == want
+
+
 def test_cross_split_pairs_against_brute_force(spark):
     rng = random.Random(8)
     p = make_texts(rng, 160)
