@@ -297,3 +297,22 @@ def f25_chat_masks(spark, sf):
 def f25d_tool_reward(spark, sf):
     rows = _turns(spark, sf).withColumn("reward", F.col("n") / 3.0)
     return T.tool_reward(rows, "conv").select("conv", "turn", "adjusted")
+
+
+@R.add("pf11_response_mask", "SELECT vec_id AS seq, list_transform(embedding[55:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS mask, list_transform(range(64), lambda i: CASE WHEN i <= coalesce(list_position(list_transform(embedding, lambda v: CASE WHEN v > 0.2 THEN 1 ELSE 0 END), 1), 65) - 1 THEN 1 ELSE 0 END) AS eos FROM embeddings")
+def pf11_response_mask(spark, sf):
+    sign = F.transform("embedding", lambda v: F.when(v > 0, 1).otherwise(0))
+    ends = F.transform("embedding", lambda v: F.when(v > 0.2, 1).otherwise(0))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), sign.alias("m"), ends.alias("e"))
+    return rows.select("seq", S.response_mask("m", 10).alias("mask"), S.eos_mask("e", F.lit(1)).alias("eos"))
+
+
+@R.add("f26_preference_pairs", "SELECT vec_id AS seq, [list_transform(range(6), lambda i: CASE WHEN i < vec_id % 9 THEN i ELSE -1 END), list_transform(range(6), lambda i: CASE WHEN i < label + 1 THEN i ELSE -1 END)] AS pair FROM embeddings")
+def f26_preference_pairs(spark, sf):
+    ids = lambda n: F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(20).cast("bigint")), lambda i: i < n)
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), S.preference_pair(ids(F.col("vec_id") % 9), ids(F.col("label") + 1), 6, -1).alias("pair"))
+
+
+@R.add("f25b_cut_request", "SELECT vec_id AS seq, CAST(least(40, 10 + vec_id % 20 + 24, 64) AS INT) AS n FROM embeddings")
+def f25b_cut_request(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.size(S.cut_request("embedding", (10 + F.col("vec_id") % 20).cast("int"), 40, 24)).alias("n"))

@@ -87,3 +87,10 @@ def st_event_windows(spark, sf):
     """Event-time windows, an extension."""
     out = Q.event_windows(table(spark, sf, "events"), "6 hours", "1 hour", by=["event_type"])
     return rounded(out, "total").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@R.add("st3_take", "SELECT event_type AS queue, CAST(floor(count(*) FILTER (event_id % 3 <> 2) / 8) AS BIGINT) AS batches FROM events GROUP BY event_type")
+def st3_take(spark, sf):
+    """How many batches of exactly eight samples each queue has given out."""
+    puts = _log(spark, sf).filter("kind = 'put'")
+    return Q.full_batches(puts, 8).groupBy("queue").agg(F.count_distinct("batch").alias("batches"))

@@ -173,3 +173,12 @@ def event_windows(events: DataFrame, width: str, late: str, at="ts", by: list[st
     """Counts and sums of ``value`` in event-time windows with a watermark (an extension: versions count in the queues)."""
     timed = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
     return timed.groupBy(F.window("__at", width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+
+
+def full_batches(puts: DataFrame, required: int, queue="queue", seq="seq") -> DataFrame:
+    """Adds ``batch``: samples taken ``required`` at a time in order of a hash cell; the rest, too few for a batch, is left."""
+    from corpusmill.functions.ranking import ranked
+
+    placed = ranked(puts, [queue], [seq], "__k").withColumn("batch", F.floor(F.col("__k") / required).cast("bigint")).drop("__k")
+    sizes = placed.groupBy(queue, "batch").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == required).select(queue, "batch")
+    return placed.join(sizes, [queue, "batch"])
