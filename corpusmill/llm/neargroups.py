@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import nearsets as N
@@ -66,15 +68,77 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
 def _met(postings: DataFrame, threshold: float, hot: int) -> DataFrame:
     """(x, y, ...): candidate pairs of the shingles with few postings, and, with a null y, the postings of the others.
 
-    The count shares the shuffle by shingle with the join that follows.
+    One shuffle by shingle serves both; runs of equal shingles are paired batch by batch,
+    and no more than ``hot`` postings of a shingle are ever held.
     """
-    counted = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    few = counted.filter(F.col("n").between(2, hot))
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & N.near_enough("a", "b", threshold))
-    none = F.lit(None)
-    light = pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct().select("x", "y", none.cast("bigint").alias("token"), none.cast("int").alias("size"), none.cast("int").alias("pos"))
-    return light.unionByName(counted.filter(F.col("n") > hot).select(F.col("cls").alias("x"), none.cast("bigint").alias("y"), "token", "size", "pos"))
+
+    def run(batches):
+        held = [np.zeros(0, np.int64) for _ in range(4)]
+        crowded = None  # the shingle whose postings are being passed on
+
+        def passed(rows):
+            none = pa.nulls(len(rows[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(rows[1]), none, pa.array(rows[0]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int32))], _MET)
+
+        def paired(rows):
+            x, y = _pairs(*rows, threshold)
+            empty = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *empty], _MET)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = [np.asarray(c.to_numpy(zero_copy_only=False)).astype(np.int64) for c in batch.columns]
+            if crowded is not None:
+                more = int(np.searchsorted(fresh[0], crowded, side="right"))
+                if more:
+                    yield passed([c[:more] for c in fresh])
+                    fresh = [c[more:] for c in fresh]
+                if not len(fresh[0]):
+                    continue
+                crowded = None
+            held = [np.concatenate(p) for p in zip(held, fresh)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            starts = np.flatnonzero(np.diff(held[0][:last], prepend=-1))
+            runs = np.diff(np.append(starts, last))
+            many = np.repeat(runs > hot, runs)
+            if many.any():
+                yield passed([c[:last][many] for c in held])
+            if (runs > 1).any():
+                yield paired([c[:last][~many] for c in held])
+            held = [c[last:] for c in held]
+            if len(held[0]) > hot:
+                crowded = held[0][0]
+                yield passed(held)
+                held = [c[:0] for c in held]
+        if len(held[0]) > 1:
+            yield paired(held)
+
+    rows = postings.select("token", "cls", "size", "pos").repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(run, "x bigint, y bigint, token bigint, size int, pos int").distinct()
+
+
+_MET = ["x", "y", "token", "size", "pos"]
+
+
+def _pairs(token, cls, size, pos, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of postings of one shingle that pass the length and position filters."""
+    found = []
+    at = np.arange(len(token))
+    step = 1
+    while len(at):
+        at = at[at + step < len(token)]
+        at = at[token[at] == token[at + step]]
+        a, b = at, at + step
+        na, nb = size[a], size[b]
+        fits = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
+        fits &= np.minimum(na - pos[a], nb - pos[b]) >= np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+        a, b = a[fits], b[fits]
+        found.append(np.stack((np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b]))))
+        step += 1
+    both = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    x, y = np.unique(both, axis=1)
+    return x, y
 
 
 def _to_heads(crowded: DataFrame, threshold: float) -> DataFrame:
