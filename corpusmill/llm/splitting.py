@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.runtime import collect_bounded
 from corpusmill.llm.tokens import TOKENIZER, encode, encoder
 
-#: Boundary letters, strongest first: paragraph, line, sentence, clause, word, character; x is inside a character.
-LETTERS = "pnscwix"
+#: Boundary letters, strongest first: paragraph, line, sentence, clause, word, bracket or comma
+#: without a space, character; x is inside a character.
+LETTERS = "pnscwkix"
 #: Tokens kept free in each piece: a cut inside a pre-token can change how its rest merges.
 SLACK = 8
 
@@ -25,6 +26,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
+_CLOSE = np.zeros(256, bool)
+_CLOSE[[ord(c) for c in ",;]})>|"]] = True
+_OPEN = np.zeros(256, bool)
+_OPEN[[ord(c) for c in "[{(<|"]] = True
 _PAUSE = np.zeros(256, bool)
 _PAUSE[[ord(c) for c in ",;:"]] = True
 
@@ -47,6 +52,7 @@ def boundary_letters(text: str, path: str = TOKENIZER) -> tuple[str, np.ndarray]
     wide_pause = ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x81)) | ((b3 == 0xEF) & (b2 == 0xBC) & np.isin(b1, [0x8C, 0x9A, 0x9B]))
     line = np.isin(b1, [10, 13])
     letter = np.full(len(ends), "i")
+    letter[_CLOSE[b1] | _OPEN[after]] = "k"
     letter[_SPACE[after] | _SPACE[b1]] = "w"
     letter[(_PAUSE[b1] & _SPACE[after]) | wide_pause] = "c"
     letter[((_STOP[b1] | closing) & _SPACE[after]) | wide_stop] = "s"
@@ -68,7 +74,7 @@ def piece_pattern(core: int) -> str:
     character; failing that (one character of more tokens than fit), the room is filled.
     """
     least = max(0, core // 2 - 1)
-    cuts = "|".join(f".{{{least},{core - 1}}}{c}" for c in LETTERS[:5])
+    cuts = "|".join(f".{{{least},{core - 1}}}{c}" for c in LETTERS[:6])
     return f".{{1,{core}}}$|{cuts}|.{{0,{core - 1}}}[^x]|.{{1,{core}}}"
 
 
