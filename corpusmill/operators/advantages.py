@@ -257,7 +257,7 @@ def token_baseline(tokens: DataFrame, zero_tail: bool = False, dense: bool = Fal
     m = F.col("mask").cast("double")
     sums = kept.withColumns(
         {
-            "returns": F.sum(F.col("reward") * m).over(Window.partitionBy(seq).orderBy(F.col("__t")).rowsBetween(0, Window.unboundedFollowing)),
+            "returns": F.sum(F.col("reward") * m).over(Window.partitionBy(seq).orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, 0)),
             "__w": F.sum(part * m).over(forward.rowsBetween(Window.unboundedPreceding, 0)) * m,
         }
     )
@@ -294,23 +294,33 @@ def preference_weights(df: DataFrame, score: str = "score", method: str = "pow",
     return joined.withColumn("weight", weight + 1e-8).drop("__max", "__min")
 
 
-def weighted_resample(df: DataFrame, draws: int, seed: int, weight: str = "weight", order: str = "idx") -> DataFrame:
+def weighted_resample(df: DataFrame, draws: int, seed: int, weight: str = "weight", order: str = "idx", cells: int | None = None) -> DataFrame:
     """``draws`` rows drawn with replacement in proportion to their weight, with the number of each draw.
 
     Draw k looks up the k-th of ``draws`` seeded uniforms in the running sum of weights.
-    The running sum is built from per-cell totals, so no task orders the whole table.
+    The running sum goes over hash cells of the rows and then within a cell; within a cell
+    rows and draws are sorted together and each draw takes the row next above it, so the
+    work is one sort.  Rows of no weight (or a null one) are never drawn; ``order`` must be
+    unique; without any weight there is no draw.
     """
-    cells = 64
-    placed = df.withColumn("__cell", F.pmod(F.xxhash64(F.col(order)), F.lit(cells)))
+    cells = cells or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = df.columns
+    placed = df.filter(F.col(weight) > 0).withColumn("__cell", F.pmod(F.xxhash64(F.col(order)), F.lit(cells)))
     totals = placed.groupBy("__cell").agg(F.sum(weight).alias("__total"))
-    w = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__cell", F.coalesce(F.sum("__total").over(w), F.lit(0.0)).alias("__start"), F.sum("__total").over(Window.partitionBy()).alias("__all"))
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a cell
+    starts = totals.select("__cell", F.coalesce(F.sum("__total").over(before), F.lit(0.0)).alias("__lo"), (F.coalesce(F.sum("__total").over(before), F.lit(0.0)) + F.col("__total")).alias("__hi"), F.sum("__total").over(Window.partitionBy()).alias("__all"))
     inner = Window.partitionBy("__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    spans = placed.withColumn("__to", F.sum(weight).over(inner)).join(starts, "__cell").withColumn("__to", F.col("__to") + F.col("__start")).withColumn("__from", F.col("__to") - F.col(weight))
+    upper = placed.withColumn("__to", F.sum(weight).over(inner)).select("__cell", F.col("__to").alias("__at"), F.struct(*names).alias("__row"), F.lit(None).cast("bigint").alias("draw"))
     u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string")), 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     points = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("__u", u)
-    at = points.join(totals.agg(F.sum("__total").alias("__sum"))).withColumn("__x", F.col("__u") * F.col("__sum"))
-    cell_of = starts.select(F.col("__cell"), F.col("__start").alias("__lo"), F.coalesce(F.lead("__start").over(Window.orderBy("__start", "__cell")), F.col("__all")).alias("__hi"))
-    found = at.join(F.broadcast(cell_of), (F.col("__x") >= F.col("__lo")) & (F.col("__x") < F.col("__hi")))  # 64 rows
-    hit = spans.join(found.select("__cell", "draw", "__x"), "__cell").filter("__x >= __from AND __x < __to")
-    return hit.select("draw", *df.columns)
+    edges = F.broadcast(starts.agg(F.sort_array(F.collect_list(F.struct("__lo", "__hi", "__cell"))).alias("__edges"), F.max("__all").alias("__sum")))  # one row, an entry a cell
+    x = F.col("__u") * F.col("__sum")
+    hit = F.element_at(F.filter("__edges", lambda e: e["__lo"] <= x), -1)
+    aimed = points.join(edges).filter("__sum > 0").select(hit["__cell"].alias("__cell"), (x - hit["__lo"]).alias("__at"), F.lit(None).cast(upper.schema["__row"].dataType).alias("__row"), "draw")
+    # from high to low: the last row seen is the lowest one above; equal ends do not count
+    down = Window.partitionBy("__cell").orderBy(F.col("__at").desc(), F.col("draw").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    top = Window.partitionBy("__cell")
+    both = upper.unionByName(aimed).withColumn("__highest", F.max(F.when(F.col("draw").isNull(), F.struct("__at", "__row"))).over(top))
+    taken = both.withColumn("__found", F.coalesce(F.last("__row", ignorenulls=True).over(down), F.col("__highest.__row"))).filter("draw IS NOT NULL")
+    return taken.select("draw", *[F.col("__found")[n].alias(n) for n in names])
