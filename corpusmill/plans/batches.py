@@ -171,13 +171,13 @@ def u10_shuffled(spark, sf):
 
 @R.add(
     "u12_sets",
-    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0), u AS (SELECT k FROM a UNION SELECT k FROM b)
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'), u AS (SELECT k FROM a UNION SELECT k FROM b)
 SELECT (SELECT count(*) FROM a) AS size_a, (SELECT count(*) FROM b) AS size_b, count(*) AS size_union, count(*) FILTER (k IN (SELECT k FROM a) AND k IN (SELECT k FROM b)) AS size_both,
   count(*) FILTER (k NOT IN (SELECT k FROM b)) AS only_a, count(*) FILTER (k NOT IN (SELECT k FROM a)) AS only_b, count(*) FILTER (k IN (SELECT k FROM a) AND k IN (SELECT k FROM b)) = 0 AS disjoint, count(*) FILTER (k NOT IN (SELECT k FROM b)) = 0 AS a_in_b FROM u""",
 )
 def u12_sets(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
-    b = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
+    b = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"))
     return B.set_relations(a, b, "k")
 
 

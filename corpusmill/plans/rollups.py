@@ -117,14 +117,15 @@ def a9_validation(spark, sf):
 
 @R.add(
     "a10_route_metrics",
-    """WITH m AS (SELECT DISTINCT event_type AS data_source, (['acc', 'reward', 'length'])[1 + (event_id % 3)] AS var, (['mean@4', 'mean@2', 'best@4/mean', 'maj@4/mean', 'worst@4/mean', 'std@4'])[1 + event_id % 6] AS metric FROM events WHERE NOT (event_type = 'click' AND event_id % 3 = 0)),
+    """WITH m AS (SELECT DISTINCT event_type AS data_source, CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'reward' ELSE (['acc', 'reward', 'length'])[1 + (event_id % 3)] END AS var, (['mean@4', 'mean@2', 'best@4/mean', 'maj@4/mean', 'worst@4/mean', 'std@4'])[1 + event_id % 6] AS metric FROM events),
 k AS (SELECT *, CAST(nullif(regexp_extract(metric, '@([0-9]+)', 1), '') AS INT) AS n, CASE WHEN max(CASE WHEN var = 'acc' THEN 1 ELSE 0 END) OVER (PARTITION BY data_source) = 1 THEN 'acc' ELSE 'reward' END AS core FROM m)
 SELECT data_source, var, metric, CASE WHEN var = core AND regexp_matches(metric, '^(mean|maj|best)@') AND n = max(n) OVER (PARTITION BY data_source, var) THEN 'val-core' ELSE 'val-aux' END AS section FROM k""",
 )
 def a10_route_metrics(spark, sf):
     pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col("event_id") % n).cast("int"))
-    e = table(spark, sf, "events").filter(~((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0)))
-    rows = e.select(F.col("event_type").alias("data_source"), pick(["acc", "reward", "length"], 3).alias("var"), pick(["mean@4", "mean@2", "best@4/mean", "maj@4/mean", "worst@4/mean", "std@4"], 6).alias("metric")).distinct()
+    e = table(spark, sf, "events")
+    var = F.when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), "reward").otherwise(pick(["acc", "reward", "length"], 3))
+    rows = e.select(F.col("event_type").alias("data_source"), var.alias("var"), pick(["mean@4", "mean@2", "best@4/mean", "maj@4/mean", "worst@4/mean", "std@4"], 6).alias("metric")).distinct()
     return M.route_metrics(rows)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.runtime import table
 from corpusmill.operators import retrieval as K
 from corpusmill.operators import sampling as T
+from corpusmill.operators.batch import pad_to_divisor
 from corpusmill.plans.registry import REGISTRY as R
 from corpusmill.plans.views import ROLLOUTS, rollouts, rounded
 
@@ -72,10 +73,14 @@ def t9_workload(spark, sf):
     return table(spark, sf, "per_problem").select("record_id", T.workload("gen_tokens").alias("workload"))
 
 
+#: Rollouts padded with rows from their head to whole batches of 64.
+_PADDED = ROLLOUTS + """, padded AS (SELECT idx, length FROM rollouts UNION ALL SELECT n + idx, length FROM rollouts, (SELECT count(*) AS n FROM rollouts) WHERE idx < (64 - n % 64) % 64)"""
+
+
 def _batches(spark, sf, size):
     rows = rollouts(spark, sf)
-    full = rows.filter(F.floor(F.col("idx") / size) < int(rows.count() // size))
-    return full.select(F.floor(F.col("idx") / size).cast("bigint").alias("batch"), "idx", (F.col("length") * 37).alias("length"), F.concat_ws("-", F.floor(F.col("idx") / 4).cast("string")).alias("uid"))
+    whole, _ = pad_to_divisor(rows.select("idx", "length"), size, rows.count())
+    return whole.select(F.floor(F.col("idx") / size).cast("bigint").alias("batch"), "idx", (F.col("length") * 37).alias("length"), F.floor(F.col("idx") / 4).cast("string").alias("uid"))
 
 
 @R.add("t7_balanced")
@@ -90,7 +95,7 @@ def t8_greedy(spark, sf):
     return T.balanced(_batches(spark, sf, 64), 8, method="greedy")
 
 
-@R.add("t7_balanced_sizes", f"WITH {ROLLOUTS} SELECT idx // 64 AS batch, part, 8 AS rows FROM rollouts, range(8) AS p(part) WHERE idx // 64 < (SELECT count(*) // 64 FROM rollouts) GROUP BY 1, 2")
+@R.add("t7_balanced_sizes", f"WITH {_PADDED} SELECT idx // 64 AS batch, part, 8 AS rows FROM padded, range(8) AS p(part) GROUP BY 1, 2")
 def t7_balanced_sizes(spark, sf):
     return T.balanced(_batches(spark, sf, 64), 8).groupBy("batch", "part").agg(F.count(F.lit(1)).cast("int").alias("rows"))
 
@@ -107,7 +112,7 @@ def t11_micro_batches(spark, sf):
     return T.micro_batches(_batches(spark, sf, 64), 2048)
 
 
-@R.add("t11_micro_batch_count", f"WITH {ROLLOUTS} SELECT idx // 64 AS batch, CAST(least(count(*), ceil(sum(length * 37) / 2048.0)) AS BIGINT) AS n FROM rollouts WHERE idx // 64 < (SELECT count(*) // 64 FROM rollouts) GROUP BY 1")
+@R.add("t11_micro_batch_count", f"WITH {_PADDED} SELECT idx // 64 AS batch, CAST(least(count(*), ceil(sum(length * 37) / 2048.0)) AS BIGINT) AS n FROM padded GROUP BY 1")
 def t11_micro_batch_count(spark, sf):
     return T.micro_batch_count(_batches(spark, sf, 64), 2048)
 
