@@ -131,6 +131,26 @@ def concat(parts: list[DataFrame], sizes: list[int]) -> DataFrame:
     return out
 
 
+def merge_meta(metas: list[dict]) -> dict:
+    """The side information of concatenated batches: equal values stay, ``metrics`` become lists by name.
+
+    Any other difference is an error.
+    """
+    out: dict = {}
+    metrics: dict[str, list] = {}
+    for meta in metas:
+        for k, v in meta.items():
+            if k == "metrics":
+                for one in v if isinstance(v, list) else [v]:
+                    for name, value in one.items():
+                        metrics.setdefault(name, []).append(value)
+            elif k in out and out[k] != v:
+                raise ValueError(f"the batches disagree about {k!r}")
+            else:
+                out[k] = v
+    return out | ({"metrics": metrics} if metrics else {})
+
+
 def chunk(batch: DataFrame, n: int, size: int, even: bool = False, pad: bool = False) -> DataFrame:
     """Adds ``chunk``: n runs of rows of ceil(size / n); with ``even`` the first size % n runs are one longer.
 

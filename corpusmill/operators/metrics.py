@@ -260,6 +260,25 @@ def step_metrics(long: DataFrame, step="step", name="name", value="value", weigh
     return agg.select(name, "rule", pick.alias("value"))
 
 
+def step_overrides(folded: DataFrame, gpus: int, name="name", value="value") -> DataFrame:
+    """``step_metrics`` with derived metrics in place of folded ones: seqlen spread, throughput and idle ratio.
+
+    The folded table has a row a metric name; its names form one map.
+    """
+    m = F.broadcast(folded.agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias("__m")))  # a one-row table
+    at = lambda k: F.col("__m")[k]
+    derived = {
+        "global_seqlen/minmax_diff": at("global_seqlen/max") - at("global_seqlen/min"),
+        "perf/throughput": F.try_divide(at("perf/total_num_tokens"), at("perf/time_per_step") * gpus),
+    }
+    out = F.col(value)
+    for k, c in derived.items():
+        out = F.when((F.col(name) == k) & c.isNotNull(), c).otherwise(out)
+    kept = folded.join(m).withColumn(value, out).drop("__m")
+    idle = m.filter(at("timing_s/gen").isNotNull() & at("timing_s/step").isNotNull()).select(F.lit("trainer/idle_ratio").alias(name), F.try_divide(at("timing_s/gen"), at("timing_s/step")).alias(value))
+    return kept.filter(F.col(name) != "trainer/idle_ratio").unionByName(idle, allowMissingColumns=True)
+
+
 def assembly_stats(samples: DataFrame, seconds="processing_time", version="version", start="start_version", end="end_version") -> DataFrame:
     """One row for an assembled batch: processing times, share of partial samples, version span and diversity."""
     s = F.col(seconds)

@@ -16,7 +16,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import advantages as A
 from corpusmill.operators import batch as B
 from corpusmill.operators import correction as C
-from corpusmill.operators import flatten, governance, losses, metrics, recipes, retrieval
+from corpusmill.operators import flatten, governance, losses, metrics, recipes, retrieval, rewards
 from corpusmill.operators import sampling as S
 from corpusmill.sources import io
 from corpusmill.streaming import queue as Q
@@ -148,9 +148,21 @@ def test_unsolved_costs_are_null(spark):
     assert r["cost_per_solved_tokens"] is None and r["exec_success_rate"] == 0.0
 
 
+def test_step_overrides(spark):
+    df = spark.createDataFrame([("global_seqlen/minmax_diff", "avg", 9.0), ("global_seqlen/max", "max", 8.0), ("global_seqlen/min", "min", 3.0), ("perf/throughput", "avg", 1.0), ("perf/total_num_tokens", "sum", 100.0), ("perf/time_per_step", "time_sum", 5.0), ("timing_s/gen", "time_sum", 2.0), ("timing_s/step", "time_sum", 8.0)], "name string, rule string, value double")
+    out = {r["name"]: r["value"] for r in metrics.step_overrides(df, 4).collect()}
+    assert out["global_seqlen/minmax_diff"] == 5.0 and out["perf/throughput"] == 5.0 and out["trainer/idle_ratio"] == 0.25 and len(out) == 9
+
+
 # ---------------------------------------------------------------- batches
 
 
+def test_meta_of_concatenated_batches():
+    assert B.merge_meta([{"t": 1, "metrics": {"a": 1}}, {"t": 1, "metrics": {"a": 2}}]) == {"t": 1, "metrics": {"a": [1, 2]}}
+    with pytest.raises(ValueError):
+        B.merge_meta([{"t": 1}, {"t": 2}])
+
+
 def batch(spark, n):
     return spark.createDataFrame([(i, f"r{i}") for i in range(n)], "idx bigint, v string")
 
@@ -413,6 +425,42 @@ def test_sinks_round_trip(spark, tmp_path):
         io.read_files(spark, ["x.csv"])
 
 
+def test_training_sources(spark, tmp_path):
+    pairs = spark.createDataFrame([("p", "c", "r", 1)], "prompt string, chosen string, rejected string, other int")
+    pairs.write.parquet(str(tmp_path / "p.parquet"))
+    assert rows(io.read_preferences(spark, [str(tmp_path / "p.parquet")])) == [("p", "c", "r")]
+    turns = spark.createDataFrame([([("user", "a"), ("assistant", "b")], True), ([("system", "s"), ("user", "a")], None)], "messages array<struct<role: string, content: string>>, enable_thinking boolean")
+    turns.write.parquet(str(tmp_path / "t.parquet"))
+    out = io.read_conversations(spark, [str(tmp_path / "t.parquet")], tools="tools", thinking="enable_thinking")
+    assert out.columns == ["messages", "tools", "enable_thinking"] and out.filter("tools IS NULL").count() == 2
+    assert io.with_generated(pairs, lambda b: b.select("prompt"), pairs).count() == 2
+    io.save_batch(pairs, str(tmp_path / "b"))
+    assert B.same(io.load_batch(spark, str(tmp_path / "b")), pairs)
+    assert recipes.multiturn_rows(spark.createDataFrame([("q", "a")], "question string, answer string"), "s").first()["messages"][0]["role"] == "system"
+    got = recipes.collect_responses(spark.createDataFrame([(0, 1, "b"), (0, 0, "a")], "idx bigint, sample int, response string"))
+    assert rows(got) == [(0, ["a", "b"])]
+
+
+# ---------------------------------------------------------------- rewards
+
+
+def test_reward_managers(spark):
+    def length_or_fail(source, response, truth):
+        return len(response)
+
+    df = spark.createDataFrame([("openai/gsm8k", "#### 4", "4", 3, 0.0), ("openai/gsm8k", None, "4", 9, 0.0)], "data_source string, response string, ground_truth string, length int, at double")
+    assert [r["reward"] for r in rewards.manager("naive")(df).collect()] == [1.0, 0.0]
+    failing = rewards.naive(df, length_or_fail).collect()
+    assert [(r["reward"], r["error"]) for r in failing] == [(6.0, None), (0.0, "error")]
+    assert [r["reward"] for r in rewards.dapo(df, F.lit(1.0), max_length=10, buffer=4, factor=0.5).collect()] == [1.0, 0.625]
+    assert [list(r["token_rewards"]) for r in rewards.naive(df, F.lit(1.0), width=4).collect()] == [[0.0, 0.0, 1.0, 0.0], [0.0] * 4]
+    assert [r["error"] for r in rewards.prime(df, lambda s, r, t: __import__("time").sleep(0.05) or 1.0, seconds=0.01).collect()] == ["timeout"] * 2
+    assert [r["reward"] for r in rewards.batch(df, lambda p: p["response"].isna().astype(float)).collect()] == [0.0, 1.0]
+    assert rewards.rate_limited(df, F.lit(1.0), per_minute=60, burst=1).filter("start = 1.0").count() == 2
+    with pytest.raises(ValueError):
+        rewards.manager("none")
+
+
 def test_run_records_before_log(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         io.load_run(spark, str(tmp_path))
