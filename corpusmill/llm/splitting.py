@@ -108,25 +108,41 @@ def split_documents(documents: DataFrame, max_tokens: int, overlap: int = 0, id_
     cut = large.mapInArrow(run, f"{id_col} bigint, text string, letters string, chars array<int>")
     sizes = F.transform(F.regexp_extract_all("letters", F.lit(piece_pattern(core)), F.lit(0)), lambda m: F.length(m))
     ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    spans = cut.select(id_col, "text", "letters", "chars", ends.alias("ends")).select(id_col, "text", "letters", "chars", "ends", F.explode(F.sequence(F.lit(1), F.size("ends") - 1)).alias("piece"))
-    begin, end = F.expr("ends[piece - 1]"), F.expr("ends[piece]")
-    # look back ``overlap`` tokens, and on to the nearest end of a character
-    wanted = F.greatest(begin - F.lit(overlap), F.lit(0))
-    behind = F.length(F.regexp_extract(F.expr("substring(letters, 1, look)"), "x*$", 0))
-    placed = spans.withColumn("begin", begin).withColumn("end", end).withColumn("look", F.when(F.col("piece") == 1, F.lit(0)).otherwise(wanted)).withColumn("first", F.col("look") - F.when(F.col("look") > 0, behind).otherwise(0))
-    start_char = F.when(F.col("first") == 0, F.lit(0)).otherwise(F.expr("chars[first - 1]"))
-    end_char = F.expr("chars[end - 1]")
-    return placed.select(
-        id_col,
-        (F.col("piece") - 1).alias("piece"),
-        (F.size("ends") - 1).alias("pieces"),
-        F.col("first").cast("bigint").alias("first_token"),
-        (F.col("end") - F.col("first")).cast("bigint").alias("n_tokens"),
-        (F.col("begin") - F.col("first")).cast("bigint").alias("overlap_tokens"),
-        start_char.cast("bigint").alias("start_char"),
-        end_char.cast("bigint").alias("end_char"),
-        F.substring("text", start_char + 1, end_char - start_char).alias("text"),
-    )
+    whole = cut.select(id_col, "text", "chars", ends.alias("ends"))
+    inside = lambda t: F.get("chars", t) == F.coalesce(F.get("chars", t - 1), F.lit(0))  # noqa: E731 - the token ends no character
+
+    def piece(k):
+        begin, end = F.get("ends", k), F.get("ends", k + 1)
+        # look back ``overlap`` tokens, and on over the tokens inside a character (three at most)
+        look = F.when(k == 0, F.lit(0)).otherwise(F.greatest(begin - overlap, F.lit(0)))
+        over = F.when((look == 0) | ~inside(look - 1), 0).when(~inside(look - 2), 1).when(~inside(look - 3), 2).otherwise(3)
+        first = look - over
+        return F.struct(
+            k.alias("piece"),
+            first.alias("first_token"),
+            (end - first).alias("n_tokens"),
+            (begin - first).alias("overlap_tokens"),
+            F.when(first == 0, F.lit(0)).otherwise(F.get("chars", first - 1)).alias("start_char"),
+            F.get("chars", end - 1).alias("end_char"),
+        )
+
+    made = whole.select(id_col, "text", F.transform(F.sequence(F.lit(0), F.size("ends") - 2), piece).alias("made"))
+    names = ["piece", "first_token", "n_tokens", "overlap_tokens", "start_char", "end_char"]
+
+    def slices(batches):
+        # SQL's substring walks from the start of the text for every piece; a slice does not
+        for batch in batches:
+            for rid, text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                flat = pieces.values
+                spans = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+                n = len(flat)
+                texts = [text[a:b] for a, b in zip(spans[4], spans[5])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rid] * n, pa.int64()), pa.array(spans[0].astype(np.int32)), pa.array([n] * n, pa.int32()), *(pa.array(c.astype(np.int64)) for c in spans[1:]), pa.array(texts, pa.string())],
+                    [id_col, "piece", "pieces", *names[1:], "text"],
+                )
+
+    return made.mapInArrow(slices, f"{id_col} bigint, piece int, pieces int, first_token bigint, n_tokens bigint, overlap_tokens bigint, start_char bigint, end_char bigint, text string")
 
 
 def split_by_limits(documents: DataFrame, limits: DataFrame, **options) -> DataFrame:
