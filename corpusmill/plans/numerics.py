@@ -526,8 +526,9 @@ def l21_overlong(spark, sf):
     return rows.select("idx", r6(F.col("score") + C.overlong_penalty(F.col("length"), 12, 4, 0.5)).alias("reward"))
 
 
-@R.add("l22_flops", f"WITH {ROLLOUTS} SELECT data_source, CAST(sum(length) AS BIGINT) AS tokens, round(6.0 * 7e9 * sum(length) + 12.0 * 128 * 32 * 32 * sum(length * length), 6) + 0.0 AS flops FROM rollouts GROUP BY data_source")
+@R.add("l22_flops", f"WITH {ROLLOUTS} SELECT data_source, CAST(sum(length) AS BIGINT) AS tokens, round((6.0 * 7e9 * sum(length) + 12.0 * 128 * 32 * 32 * sum(length * length)) / 1e9, 4) + 0.0 AS gigaflops FROM rollouts GROUP BY data_source")
 def l22_flops(spark, sf):
     from corpusmill.operators.sampling import dense_flops
 
-    return rounded(rollouts(spark, sf).groupBy("data_source").agg(F.sum("length").alias("tokens"), dense_flops("length", 7e9, 32, 32, 128).alias("flops")))
+    per = rollouts(spark, sf).groupBy("data_source").agg(F.sum("length").alias("tokens"), dense_flops("length", 7e9, 32, 32, 128).alias("flops"))
+    return per.select("data_source", "tokens", (F.round(F.col("flops") / 1e9, 4) + 0.0).alias("gigaflops"))
