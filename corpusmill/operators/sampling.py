@@ -29,22 +29,21 @@ def capped_then_filtered(rows: DataFrame, n: int, keep: Column, seed: int | None
 def ordered(rows: DataFrame, how: str, seed: int = 0, difficulty: str | None = None, key: str = "idx") -> DataFrame:
     """Adds ``place``: the order in which a sampler visits rows: sequential, random (by seed) or curriculum (by difficulty).
 
-    The sequential place is the ordinal; the others rank within value ranges, so that no
-    task orders the whole table.
+    The sequential place is the ordinal.  The random one goes by the first 52 bits of
+    SHA-256 over seed and key, the curriculum's by difficulty, ascending with nulls first,
+    then by the key, a unique number.  Both rank within value ranges, so that no task
+    orders the whole table or a whole level.
     """
-    from corpusmill.functions.ranking import ranked
+    from corpusmill.functions.ranking import ranked_in_order
 
     if how == "sequential":
         return rows.withColumn("place", F.col(key))
     if how == "random":
-        one = rows.withColumn("__one", F.lit(0)).withColumn("__h", F.xxhash64(F.lit(seed), key))
-        return ranked(one, ["__one"], ["__h", key], "place").drop("__one", "__h")
+        hashed = rows.withColumn("__h", F.conv(F.substring(seeded(seed, key), 1, 13), 16, 10).cast("bigint"))
+        return ranked_in_order(hashed, "__h", "place", ties=[key]).drop("__h")
     if how != "curriculum":
         raise ValueError(f"unknown sampler {how!r}")
-    counts = rows.groupBy(difficulty).agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy(difficulty).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = ranked(rows, [difficulty], [key], "__k")
-    level = counts.select(F.col(difficulty).alias("__d"), "__start")
-    return inner.join(level, inner[difficulty].eqNullSafe(level["__d"])).withColumn("place", F.col("__start") + F.col("__k")).drop("__d", "__start", "__k")
+    return ranked_in_order(rows, key, "place", by=[difficulty], across=True)
 
 
 def qa_sample(records: DataFrame, size: int, least: int, seed: int, dataset="dataset", kind="error_type", problem="problem_id", key="record_id") -> DataFrame:

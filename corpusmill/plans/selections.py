@@ -24,18 +24,15 @@ def t1_head(spark, sf):
 
 @R.add("t2_curriculum", "SELECT event_id, row_number() OVER (ORDER BY event_type, event_id) - 1 AS nth, event_type FROM events")
 def t2_curriculum(spark, sf):
-    """Levels in order; within a level places follow a hash, so places are compared by level."""
-    rows = T.ordered(table(spark, sf, "events").select("event_id", "event_type"), "curriculum", difficulty="event_type", key="event_id")
-    from pyspark.sql import Window
+    """Levels in order, each in the order of its ids."""
+    rows = table(spark, sf, "events").select("event_id", "event_type")
+    return T.ordered(rows, "curriculum", difficulty="event_type", key="event_id").withColumnRenamed("place", "nth")
 
-    lo = F.min("place").over(Window.partitionBy("event_type"))
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return rows.select("event_id", (lo + k).alias("nth"), "event_type")
 
-
-@R.add("t2_random", "SELECT count(*) AS n, count(*) - 1 AS last, count(*) AS places FROM events")
+@R.add("t2_random", "SELECT event_id, row_number() OVER (ORDER BY substr(sha256('5|' || CAST(event_id AS VARCHAR)), 1, 13), event_id) - 1 AS place FROM events")
 def t2_random(spark, sf):
-    return T.ordered(table(spark, sf, "events").select("event_id"), "random", 5, key="event_id").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.count_distinct("place").alias("places"))
+    """Every row's place in a seeded random order."""
+    return T.ordered(table(spark, sf, "events").select("event_id"), "random", 5, key="event_id")
 
 
 @R.add("t3_eval_cap", "SELECT record_id FROM per_problem ORDER BY sha256('3|' || CAST(record_id AS VARCHAR)), record_id LIMIT 150")

@@ -72,7 +72,7 @@ def long_tokens(spark, sf: str) -> DataFrame:
 MANIFEST = r"""m AS (
   SELECT sample_id, dataset, problem_id, version, CASE
       WHEN lower(trim(split)) IN ('train', 'training') THEN 'train'
-      WHEN lower(trim(split)) IN ('valid', 'val', 'validation', 'dev') THEN 'valid'
+      WHEN lower(trim(split)) IN ('valid', 'val', 'validation', 'dev', 'development') THEN 'valid'
       WHEN lower(trim(split)) IN ('test', 'testing') THEN 'test' END AS split
   FROM manifest),
 firsts AS (SELECT sample_id, min(split) AS split, min(version) AS version FROM m WHERE split IS NOT NULL GROUP BY sample_id),
@@ -84,7 +84,7 @@ rows_ AS (
 def split_rows(spark, sf: str) -> DataFrame:
     """(idx, key, dataset, problem_id, prompt, split): samples with their split; key is dataset:split."""
     s = F.lower(F.trim("split"))
-    split = F.when(s.isin("train", "training"), "train").when(s.isin("valid", "val", "validation", "dev"), "valid").when(s.isin("test", "testing"), "test")
+    split = F.when(s.isin("train", "training"), "train").when(s.isin("valid", "val", "validation", "dev", "development"), "valid").when(s.isin("test", "testing"), "test")
     firsts = table(spark, sf, "manifest").select("sample_id", split.alias("split")).filter("split IS NOT NULL").groupBy("sample_id").agg(F.min("split").alias("split"))
     return table(spark, sf, "dataset_samples").join(firsts, "sample_id").select(F.col("sample_id").alias("idx"), F.concat_ws(":", "dataset", "split").alias("key"), "dataset", "problem_id", "prompt", "split")
 

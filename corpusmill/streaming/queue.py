@@ -8,7 +8,7 @@ of the log gives what the stream gave.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,15 +19,15 @@ _COLUMNS = ["queue", "seq", "kind", "item", "size", "dropped", "produced", "cons
 
 
 class BoundedQueue:
-    """First in, first out; when full, a put drops the oldest sample first."""
+    """First in, first out; when full, a put drops the oldest sample first.  Without a capacity nothing is dropped."""
 
-    def __init__(self, capacity: int, items=(), produced: int = 0, consumed: int = 0, dropped: int = 0):
+    def __init__(self, capacity: int | None, items=(), produced: int = 0, consumed: int = 0, dropped: int = 0):
         self.capacity, self.items = capacity, deque(items)
         self.produced, self.consumed, self.dropped = produced, consumed, dropped
 
     def put(self, item) -> bool:
         """False if another sample had to go."""
-        full = len(self.items) >= self.capacity
+        full = self.capacity is not None and len(self.items) >= self.capacity
         if full:
             self.items.popleft()
             self.dropped += 1
@@ -63,13 +63,43 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS).astype({"item": "Int64"})
 
 
-def replay(events: DataFrame, capacity: int) -> DataFrame:
-    """The state after each event of each queue (queue, seq, kind, item), queues in parallel."""
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """A sequential fold over the rows of each ``key`` in ``order``: keys in parallel, rows of one key batch by batch.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_fold(BoundedQueue(capacity), pdf["queue"].iloc[0], pdf))
+    ``start()`` makes the state of a key, ``step(state, frame)`` folds a sorted frame of
+    one key into it and returns the rows it yields.  Rows are sorted by Spark (with
+    spilling); a task holds one batch and one state, never a key's whole history.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for frame in frames:
+            if not len(frame):
+                continue
+            names = frame[key]
+            change = (names != names.shift()) & ~(names.isna() & names.shift().isna())
+            change.iloc[0] = False
+            for _, part in frame.groupby(change.cumsum().to_numpy(), sort=False):
+                name = part[key].iloc[0]
+                if state is None or not (name == at or (pd.isna(name) and pd.isna(at))):
+                    at, state = name, start()
+                yield step(state, part)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def replay(events: DataFrame, capacity: int | None) -> DataFrame:
+    """The state after each event of each queue (queue, seq, kind, item), queues in parallel.
+
+    ``put`` brings an item, ``get`` takes the oldest (null if there is none).  A side
+    queue, such as that of validation samples, is a queue of its own name without a
+    capacity.  Events of other kinds change nothing; ``seq`` must be unique in a queue.
+    """
+
+    def step(queue: BoundedQueue, part: pd.DataFrame) -> pd.DataFrame:
+        return _frame(_fold(queue, part["queue"].iloc[0], part))
 
-    return events.select("queue", "seq", "kind", "item").groupBy("queue").applyInPandas(run, OUT)
+    return folded(events.select("queue", "seq", "kind", "item"), "queue", ["seq"], lambda: BoundedQueue(capacity), step, OUT)
 
 
 def streaming(events: DataFrame, capacity: int) -> DataFrame:
@@ -116,15 +146,15 @@ def stale_counts(samples: DataFrame, version="version", current="current_version
 
 
 def resume_order(samples: DataFrame, cancelled="cancelled", seq="seq") -> DataFrame:
-    """Adds ``place``: cancelled samples first, each kind in order; ``counts`` marks those that add to staleness."""
-    from corpusmill.functions.ranking import ranked
+    """Adds ``place``: cancelled samples first, each kind in the order of ``seq``; ``counts`` marks those that add to staleness.
 
-    first = samples.withColumn("__late", F.when(F.col(cancelled), 0).otherwise(1))
-    n = first.groupBy("__late").agg(F.count(F.lit(1)).alias("__n"))
-    before = n.filter("__late = 0").agg(F.coalesce(F.max("__n"), F.lit(0)).alias("__before"))
-    inner = ranked(first, ["__late"], [seq], "__k")
-    out = inner.join(F.broadcast(before)).withColumn("place", F.when(F.col("__late") == 0, F.col("__k")).otherwise(F.col("__before") + F.col("__k")))  # a one-row table
-    return out.withColumn("counts", ~F.col(cancelled)).drop("__late", "__k", "__before")
+    ``seq`` is a unique number; a null ``cancelled`` counts as false.
+    """
+    from corpusmill.functions.ranking import ranked_in_order
+
+    late = F.when(F.col(cancelled), 0).otherwise(1)
+    placed = ranked_in_order(samples.withColumn("__late", late), seq, "place", by=["__late"], across=True)
+    return placed.withColumn("counts", F.col("__late") == 1).drop("__late")
 
 
 def count_windows(rows: DataFrame, size: int, seq="seq") -> DataFrame:
@@ -155,18 +185,19 @@ def token_bucket(requests: DataFrame, rate: float, capacity: float, key="bucket"
     """
     schema = f"{key} string, {at} double, {cost} double, start double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, cost]).reset_index(drop=True)
-        tokens, now, starts = capacity, 0.0, []
+    def step(state: list, pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, now = state
+        starts = []
         for t, c in zip(pdf[at], pdf[cost]):
             t = max(t, now)
             tokens = min(capacity, tokens + (t - now) * rate)
             wait = max(0.0, (c - tokens) / rate)
             now, tokens = t + wait, tokens + wait * rate - c
             starts.append(now)
+        state[:] = tokens, now
         return pdf.assign(start=starts)[[key, at, cost, "start"]]
 
-    return requests.select(key, at, cost).groupBy(key).applyInPandas(run, schema)
+    return folded(requests.select(key, at, cost), key, [at, cost], lambda: [capacity, 0.0], step, schema)
 
 
 def event_windows(events: DataFrame, width: str, late: str, at="ts", by: list[str] = ()) -> DataFrame:
@@ -176,9 +207,12 @@ def event_windows(events: DataFrame, width: str, late: str, at="ts", by: list[st
 
 
 def full_batches(puts: DataFrame, required: int, queue="queue", seq="seq") -> DataFrame:
-    """Adds ``batch``: samples taken ``required`` at a time in order of a hash cell; the rest, too few for a batch, is left."""
-    from corpusmill.functions.ranking import ranked
+    """Adds ``batch``: samples of a queue taken ``required`` at a time, oldest first; the rest, too few for a batch, is left.
+
+    ``seq`` is a number, unique within a queue.
+    """
+    from corpusmill.functions.ranking import ranked_in_order
 
-    placed = ranked(puts, [queue], [seq], "__k").withColumn("batch", F.floor(F.col("__k") / required).cast("bigint")).drop("__k")
+    placed = ranked_in_order(puts, seq, "__k", by=[queue]).withColumn("batch", F.floor(F.col("__k") / required).cast("bigint")).drop("__k")
     sizes = placed.groupBy(queue, "batch").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == required).select(queue, "batch")
     return placed.join(sizes, [queue, "batch"])

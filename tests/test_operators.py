@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusmill.functions import grading as G
-from corpusmill.functions import ranking, sequences
+from corpusmill.functions import ranking, sequences, skew
 from corpusmill.functions import text as T
 from corpusmill.operators import advantages as A
 from corpusmill.operators import batch as B
@@ -253,12 +253,66 @@ def test_balance_order_small_ends(spark):
 def test_ranks_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(500)], "g int, i bigint")
     a = rows(ranking.ranked(df, ["g"], ["i"]), "i")
-    assert a == rows(ranking.ranked(df.repartition(7), ["g"], ["i"], cells=None), "i")
+    assert a == rows(ranking.ranked(df.repartition(7), ["g"], ["i"], cell_bits=3), "i")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert a == rows(ranking.ranked(df, ["g"], ["i"]), "i")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     per = {}
     for g, _, r in a:
         per.setdefault(g, []).append(r)
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
     assert [r[2] for r in rows(ranking.ranked_in_order(df, "i"), "i")] == list(range(500))
+    per = {}
+    for g, _, r in rows(ranking.ranked_in_order(df.repartition(5), "i", by=["g"], cells=9), "i"):
+        per.setdefault(g, []).append(r)
+    assert all(v == list(range(len(v))) for v in per.values())
+    whole = sorted(ranking.ranked_in_order(df, "i", by=["g"], across=True).collect(), key=lambda r: r["rank"])
+    assert [(r["g"] is not None, r["g"], r["i"]) for r in whole] == sorted((r["g"] is not None, r["g"], r["i"]) for r in whole) and [r["rank"] for r in whole] == list(range(500))
+    ties = spark.createDataFrame([(1.5, "b"), (1.5, "a"), (None, "c"), (0.5, "d")], "k double, t string")
+    assert [r["t"] for r in sorted(ranking.ranked_in_order(ties, "k", ties=["t"]).collect(), key=lambda r: r["rank"])] == ["c", "d", "a", "b"]
+    assert ranking.ranked_in_order(df.filter("i < 0"), "i").count() == 0
+
+
+def test_joins_of_hot_keys(spark):
+    many = spark.createDataFrame([(None if i % 10 == 0 else 1 if i % 3 else i, i) for i in range(600)], "k bigint, i bigint")
+    one = spark.createDataFrame([(k, f"v{k}") for k in (1, 3, 6, 9, 900)], "k bigint, v string")
+    for how in ("inner", "left"):
+        want = rows(many.join(one, "k", how), "i")
+        assert rows(skew.join_unique(many, one, "k", how, least=50), "i") == want == rows(skew.join_unique(many, one, "k", how), "i")
+    assert skew.hot_keys(many, "k", least=50) == [1] and skew.hot_keys(many, "k", least=1, most=1) == [1]
+
+
+def test_queues_take_the_oldest_first(spark):
+    puts = spark.createDataFrame([("q", i * 3 % 101) for i in range(101)] + [("r", 5)], "queue string, seq bigint")
+    got = {r["seq"]: r["batch"] for r in Q.full_batches(puts, 8).collect()}
+    assert got == {i: i // 8 for i in range(96)}
+    work = spark.createDataFrame([(i, i in (7, 3) if i != 4 else None) for i in range(10)], "seq bigint, cancelled boolean")
+    assert [r["seq"] for r in sorted(Q.resume_order(work).collect(), key=lambda r: r["place"])] == [3, 7, 0, 1, 2, 4, 5, 6, 8, 9]
+
+
+def test_folds_hold_no_whole_queue(spark):
+    rng = random.Random(4)
+    events = [("abc"[rng.randrange(3)], i, rng.choice(["put", "put", "get"]), i) for i in range(700)]
+    df = spark.createDataFrame(events, "queue string, seq bigint, kind string, item bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        got = {(r["queue"], r["seq"]): r for r in Q.replay(df.repartition(5), 4).collect()}
+        free = Q.replay(df, None).filter("dropped > 0").count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 700 and free == 0
+    for name in "abc":
+        queue = Q.BoundedQueue(4)
+        for q, seq, kind, item in events:
+            if q == name:
+                want = (queue.put(item), item)[1] if kind == "put" else queue.get()
+                r = got[name, seq]
+                assert (r["item"], r["size"], r["dropped"], r["produced"], r["consumed"]) == (want, len(queue.items), queue.dropped, queue.produced, queue.consumed)
+    assert Q.replay(df.filter("seq < 0"), 4).count() == 0
 
 
 # ---------------------------------------------------------------- nested records
