@@ -7,13 +7,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.ranking import ranked
+from corpusmill.functions.ranking import ranked_in_order
 from corpusmill.functions.runtime import collect_bounded, cut
+from corpusmill.functions.skew import hottest, join_unique
 from corpusmill.llm.graph import groups
 
 #: Largest number of distinct group sizes that the driver plans with.  N records hold at
 #: most sqrt(2 N) distinct sizes, so this is reached from 5e11 records on.
 MAX_SIZES = 1_000_000
+#: Largest table of counts by setting and size that is broadcast (some 40 MB).
+MAX_PLAN = 1_000_000
 
 
 def contest_of(problem_id):
@@ -43,14 +46,14 @@ def related(records: DataFrame, id_col: str, keys: list) -> DataFrame:
 
     ``keys`` are column expressions; a null key relates to nothing.  Each key value first
     gets its smallest id (pre-aggregated in the map tasks, so a value that a third of all
-    rows hold costs one row a task), every other record hangs on it, and the union-find
-    merges what several keys tie together.  Repeated ids count once.
+    rows hold costs one row a task), every other record hangs on it, hot values without a
+    shuffle, and the union-find merges what several keys tie together.  Repeated ids count once.
     """
     edges = None
     for key in keys:
         keyed = records.select(F.col(id_col).cast("bigint").alias("id"), key.alias("key")).filter("id IS NOT NULL AND key IS NOT NULL")
-        heads = keyed.groupBy("key").agg(F.min("id").alias("head"))
-        part = keyed.join(heads, "key").filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
+        heads = cut(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        part = join_unique(keyed, heads.drop("n"), "key", hot=hottest(heads, "key", "n")).filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
         edges = part if edges is None else edges.unionByName(part)
     return groups(edges)
 
@@ -96,24 +99,38 @@ def memberships(records: DataFrame, id_col: str, keys: list) -> DataFrame:
     return cut(ids.join(related(records, id_col, keys), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
-def assign_groups(members: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
-    """(node, root, split): the groups of ``memberships`` placed largest first into the split furthest below its share.
+def assign_groups(members: DataFrame, settings: list[dict], names: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
+    """(setting, node, root, split): groups placed largest first into the split furthest below its share, for every setting.
 
-    Only the histogram of group sizes reaches the driver (see ``MAX_SIZES``); which groups
-    of a size go where follows from their rank by a seeded hash.
+    ``members`` holds (node, root, family), a group in one family.  A setting is a dict of
+    ``setting`` (its id), ``family`` (whose members it splits), ``seed`` and the share of
+    each of ``names``.  All settings go through one plan.  Only the histogram of group
+    sizes reaches the driver (see ``MAX_SIZES``); the counts by size and split come back as
+    a table of at most ``MAX_PLAN`` rows, and which groups of a size go where follows from
+    their rank by SHA-256 of seed and root.
     """
-    sized = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
-    rows = collect_bounded(sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")), MAX_SIZES, "distinct group sizes")
-    names = list(shares)
-    plan = greedy_counts([(r["size"], r["n"]) for r in rows], [shares[n] for n in names])
-    table = [(s, *[sum(got[: i + 1]) for i in range(len(names))]) for s, got in plan.items()]
-    ends = members.sparkSession.createDataFrame(table, "size bigint, " + ", ".join(f"end{i} bigint" for i in range(len(names))))
-    hashed = sized.withColumn("h", F.xxhash64(F.lit(seed), "root"))
-    placed = ranked(hashed, ["size"], ["h", "root"]).join(ends, "size")
+    spark = members.sparkSession
+    sized = cut(members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("size")))
+    families: dict = {}
+    for r in collect_bounded(sized.groupBy("family", "size").agg(F.count(F.lit(1)).alias("n")), MAX_SIZES, "distinct group sizes"):
+        families.setdefault(r["family"], []).append((r["size"], r["n"]))
+    plan = []
+    for s in settings:
+        for size, got in greedy_counts(families[s["family"]], [s[n] for n in names]).items() if s["family"] in families else ():
+            plan.append((s["setting"], size, *[sum(got[: i + 1]) for i in range(len(names))]))
+    if len(plan) > MAX_PLAN or len(settings) > 1000:
+        raise RuntimeError("too many settings and sizes for one plan")
+    ends = spark.createDataFrame(plan, "setting bigint, size bigint, " + ", ".join(f"end{i} bigint" for i in range(len(names))))
+    asked = spark.createDataFrame([(s["setting"], s["family"], s["seed"]) for s in settings], "setting bigint, family string, seed bigint")
+    digest = F.sha2(F.concat_ws("|", F.coalesce("seed", F.lit(0)).cast("string"), F.col("root").cast("string")), 256)
+    hashed = sized.join(F.broadcast(asked), "family").withColumn("h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint"))  # at most 1000 rows
+    placed = ranked_in_order(hashed, "h", by=["setting", "size"], ties=["root"]).join(F.broadcast(ends), ["setting", "size"])  # at most MAX_PLAN rows
     split = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
         split = F.when(F.col("rank") < F.col(f"end{i}"), names[i]).otherwise(split)
-    return members.join(placed.select("root", split.alias("split")), "root").select("node", "root", "split")
+    # a list of at most one entry a setting
+    per_root = placed.groupBy("root").agg(F.collect_list(F.struct("setting", split.alias("split"))).alias("s"))
+    return join_unique(members.select("node", "root"), per_root, "root").select("node", "root", F.explode("s").alias("s")).select("s.setting", "node", "root", "s.split")
 
 
 def group_splits(records: DataFrame, id_col: str, key, shares: dict[str, float], seed: int = 0) -> DataFrame:
@@ -123,4 +140,5 @@ def group_splits(records: DataFrame, id_col: str, key, shares: dict[str, float],
     groups of one.  A group larger than a share stays whole, so that share is then
     exceeded.  Null ids are left out; repeated ids count once.
     """
-    return assign_groups(memberships(records, id_col, [key]), shares, seed).select(F.col("node").alias(id_col), F.col("root").alias("group_id"), "split")
+    members = memberships(records, id_col, [key]).withColumn("family", F.lit(""))
+    return assign_groups(members, [{"setting": 0, "family": "", "seed": seed, **shares}], tuple(shares)).select(F.col("node").alias(id_col), F.col("root").alias("group_id"), "split")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.runtime import cut
+from corpusmill.functions.skew import HOT_ROWS, join_unique
 
 
 def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +67,16 @@ def _forest(edges: DataFrame, limit: int = 1 << 20) -> DataFrame:
     return edges.mapInArrow(run, "node bigint, root bigint")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hot: int = HOT_ROWS) -> DataFrame:
     """(node, root): every node that has an edge to another, with the smallest node of its component.
 
     ``edges`` has two BIGINT columns; null ends, loops and repeated edges change nothing;
-    without edges the result is empty.  A round builds the forest of every partition,
-    joins the roots that a node got in different partitions (at most one row a partition
-    and node) and shortens the paths by one join; forests thereby merge hierarchically,
-    in logarithmically many rounds, and no task sees more than its share of the nodes.
+    without edges the result is empty.  A round compares the roots that a node got in
+    different partitions (at most one a partition), builds the forest of what each
+    partition then knows, and shortens the paths by one join; forests thereby merge
+    hierarchically, in logarithmically many rounds.  Rows are spread by node, never by
+    root: the star of a component that holds a third of all nodes lies in all partitions,
+    each of which folds its part, and where its root is joined it is split as a hot key.
     """
     u, v = edges.columns
     clean = edges.select(F.col(u).cast("bigint").alias("u"), F.col(v).cast("bigint").alias("v")).filter("u <> v")
@@ -82,10 +85,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         least = forest.withColumn("least", F.min("root").over(by_node))
         met = least.select(F.explode(F.array(F.struct(F.col("node").alias("node"), F.col("least").alias("root")), F.struct(F.col("root").alias("node"), F.col("least").alias("root")))).alias("e")).select("e.*").filter("node <> root")
-        merged = _forest(met.repartition("root"))
+        merged = cut(_forest(met))
         up = merged.groupBy("node").agg(F.min("root").alias("above")).withColumnRenamed("node", "root")
         # node-root becomes node-above; the link root-above stays in root's own rows
-        forest = cut(merged.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")).groupBy("node", "root").agg(F.max("moved").alias("moved")))
+        moved = join_unique(merged, up, "root", "left", hot)
+        forest = cut(moved.select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")).groupBy("node", "root").agg(F.max("moved").alias("moved")))
         split = forest.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("moved").alias("moved")).filter("n > 1 OR moved")
         if split.isEmpty():
             return forest.select("node", "root")

@@ -62,10 +62,7 @@ def p2_found(spark, sf):
     return neargroups.near_groups(table(spark, sf, "dataset_samples"), "sample_id", ["prompt", "description"], 0.7, 3, 20)
 
 
-@R.add(
-    "p6_found",
-    r"""
-WITH n AS (
+_ENTITIES = r"""n AS (
   SELECT sample_id, dataset, problem_id, lower(trim(regexp_replace(problem_id, '\s+', ' ', 'g'))) AS s FROM dataset_samples),
 k AS (
   SELECT sample_id, CASE WHEN trim(problem_id) = '' THEN NULL
@@ -75,7 +72,11 @@ k AS (
     WHEN regexp_matches(s, '^0*([0-9]+).*\(\s*([a-z]+)\s*\)$')
       THEN 'contest ' || regexp_extract(s, '^0*([0-9]+).*\(\s*([a-z]+)\s*\)$', 2) || '/' || regexp_extract(s, '^0*([0-9]+).*\(\s*([a-z]+)\s*\)$', 1)
     ELSE 'contest ' || lower(trim(problem_id)) END AS key
-  FROM n),
+  FROM n)"""
+
+@R.add(
+    "p6_found",
+    f"""WITH {_ENTITIES},
 g AS (SELECT sample_id, min(sample_id) OVER (PARTITION BY key) AS group_id, count(*) OVER (PARTITION BY key) AS n FROM k WHERE key IS NOT NULL)
 SELECT sample_id, group_id FROM g WHERE n > 1""",
 )
@@ -85,23 +86,31 @@ def p6_found(spark, sf):
     return entities.related(samples, "sample_id", [entities.entity_of(F.col("dataset"), F.col("problem_id"))]).select(F.col("node").alias("sample_id"), F.col("root").alias("group_id"))
 
 
-@R.add("p6_splits")
+_P6_SPLITS = f"""WITH RECURSIVE {_ENTITIES},
+m AS (SELECT k.sample_id, coalesce(min(k.sample_id) OVER (PARTITION BY key, key IS NULL), k.sample_id) AS root0, key, CASE WHEN starts_with(dataset, 'codecontests') THEN 'code_contests' ELSE dataset END AS family FROM k JOIN dataset_samples USING (sample_id)),
+r AS (SELECT sample_id, family, CASE WHEN key IS NULL THEN sample_id ELSE root0 END AS root FROM m),
+sz AS (SELECT family, root, count(*) AS size FROM r GROUP BY family, root), tot AS (SELECT family, sum(size) AS total FROM sz GROUP BY family),
+o AS (SELECT meta_id, root, size, CAST('0x' || substr(sha256(coalesce(CAST(sampling.seed AS VARCHAR), '0') || '|' || CAST(root AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM sz JOIN split_meta ON dataset = family),
+q AS (SELECT *, row_number() OVER (PARTITION BY meta_id ORDER BY size DESC, h, root) AS k, row_number() OVER (PARTITION BY meta_id, size ORDER BY h, root) AS nth FROM o),
+s AS (SELECT meta_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, 0 AS got, total * train_share / (train_share + valid_share + test_share) AS a, total * valid_share / (train_share + valid_share + test_share) AS b, total * test_share / (train_share + valid_share + test_share) AS c FROM split_meta JOIN tot ON dataset = family
+  UNION ALL SELECT meta_id, k, size, got, a - CASE got WHEN 1 THEN size ELSE 0 END, b - CASE got WHEN 2 THEN size ELSE 0 END, c - CASE got WHEN 3 THEN size ELSE 0 END
+  FROM (SELECT s.meta_id, q.k, q.size, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS got, a, b, c FROM s JOIN q ON q.meta_id = s.meta_id AND q.k = s.k + 1)),
+cnt AS (SELECT meta_id, size, count(*) FILTER (got = 1) AS e1, count(*) FILTER (got <= 2) AS e2 FROM s WHERE k > 0 GROUP BY meta_id, size)
+SELECT q.meta_id, r.sample_id, r.root AS group_id, CASE WHEN nth <= e1 THEN 'train' WHEN nth <= e2 THEN 'valid' ELSE 'test' END AS split
+FROM q JOIN cnt ON cnt.meta_id = q.meta_id AND cnt.size = q.size JOIN r ON r.root = q.root"""
+
+
+@R.add("p6_splits", _P6_SPLITS)
 def p6_splits(spark, sf):
     """Group-preserving splits of all samples in the shares of each row of split_meta."""
     samples = table(spark, sf, "dataset_samples")
-    # related records share a family, so the groups are found once for all rows of split_meta
+    # related records share a family, so the groups are found once for all settings
     members = entities.memberships(samples, "sample_id", [entities.entity_of(F.col("dataset"), F.col("problem_id"))])
     family = F.when(F.col("dataset").startswith("codecontests"), "code_contests").otherwise(F.col("dataset"))
-    placed = members.join(samples.select(F.col("sample_id").alias("node"), family.alias("family")).distinct(), "node")
-    placed = runtime.cut(placed)
-    out = None
-    metas = table(spark, sf, "split_meta").groupBy("dataset", "train_share", "valid_share", "test_share").agg(F.min("meta_id").alias("meta_id"), F.min(F.col("sampling.seed")).alias("seed")).orderBy("meta_id")
-    for shares in collect_bounded(metas, 1000, "split_meta"):
-        some = placed.filter(F.col("family") == shares["dataset"]).select("node", "root")
-        part = entities.assign_groups(some, {n: shares[f"{n}_share"] for n in ("train", "valid", "test")}, shares["seed"] or 0)
-        part = part.select(F.lit(shares["meta_id"]).cast("bigint").alias("meta_id"), F.col("node").alias("sample_id"), F.col("root").alias("group_id"), "split")
-        out = part if out is None else out.unionByName(part)
-    return out
+    members = runtime.cut(members.join(samples.select(F.col("sample_id").alias("node"), family.alias("family")).distinct(), "node"))
+    rows = collect_bounded(table(spark, sf, "split_meta").orderBy("meta_id"), 1000, "split_meta")
+    settings = [{"setting": r["meta_id"], "family": r["dataset"], "seed": r["sampling"]["seed"], **{n: r[f"{n}_share"] for n in ("train", "valid", "test")}} for r in rows]
+    return entities.assign_groups(members, settings).select(F.col("setting").alias("meta_id"), F.col("node").alias("sample_id"), F.col("root").alias("group_id"), "split")
 
 
 @R.add("p3_found")

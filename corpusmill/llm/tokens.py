@@ -7,6 +7,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,14 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenisation pattern that belongs to these rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are encoded in stretches of about so many bytes, cut before white space, so that
-#: a huge text neither builds one huge token list nor one huge pre-token.
+#: Texts are encoded in stretches of about so many characters, so that a huge text does not
+#: build one huge token list.  Stretches end where a pre-token does, so they change no token.
 STRETCH = 1 << 20
+#: Places where a pre-token ends whatever stands around them: a letter, digit or mark
+#: (not an apostrophe, which may open a contraction) before white space or another class.
+_ENDS = regex.compile(r"(?<=\p{L})(?=[\p{P}\p{S}\p{Z}\t\n\r])|(?<=\p{Nd})(?=[\p{L}\p{P}\p{Z}\t\n\r])|(?<=[.,:;!?)\]}>=*_-])(?=[\p{L}\p{Nd}\p{Z}\t\n\r])")
+#: Runs of white space too long for the pattern's look-ahead, which would exhaust its stack.
+_BLANK = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,20 +39,32 @@ def encoder(path: str = TOKENIZER):
 
 
 def encode(text: str, path: str = TOKENIZER) -> np.ndarray:
-    """Token ids of a text; nothing in it counts as a special token."""
+    """Token ids of a text; nothing in it counts as a special token.
+
+    A text longer than ``STRETCH`` is encoded in stretches that end at the next sure end
+    of a pre-token; a text without one, such as a single word of megabytes, in one.
+    """
     enc, _ = encoder(path)
-    if len(text) <= STRETCH:
+    if len(text) < 10_000:
         return np.asarray(enc.encode_ordinary(text), np.int64)
     parts, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + STRETCH)
-        if end < len(text):
-            # a letter before and a space after: the pattern ends a pre-token here too
-            cut = next((k for k in range(end, max(at, end - 65536), -1) if text[k] == " " and text[k - 1].isalpha() and text[k + 1 : k + 2].isalpha()), end)
-            end = cut if cut > at else end
-        parts.append(np.asarray(enc.encode_ordinary(text[at:end]), np.int64))
+
+    def plain(end: int) -> None:
+        nonlocal at
+        while at < end:
+            found = _ENDS.search(text, at + STRETCH, end) if end - at > STRETCH else None
+            to = found.start() if found else end
+            parts.append(enc.encode_ordinary(text[at:to]))
+            at = to
+
+    for blank in _BLANK.finditer(text):
+        plain(blank.start())
+        # all of the run but its last mark is one pre-token; at the end of the text all of it is
+        end = blank.end() - (blank.end() < len(text))
+        parts.append(enc._encode_single_piece(text[at:end]))
         at = end
-    return np.concatenate(parts)
+    plain(len(text))
+    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(p, np.int64) for p in parts)])
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:

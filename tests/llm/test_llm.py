@@ -169,6 +169,39 @@ def test_components(spark, shape):
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     assert {tuple(r) for r in graph.groups(df.repartition(6)).collect()} == want
     assert graph.groups(df.filter("u < -1")).count() == 0
+    assert {tuple(r) for r in graph.components(df.repartition(6), hot=5).collect()} == {(a, b) for a, b in want if a != b}
+
+
+@pytest.mark.parametrize("hub", [0, 200_000])
+def test_no_task_holds_a_star(spark, monkeypatch, hub):
+    worst = []
+    real = graph.cut
+
+    def spy(df):
+        kept = real(df)
+        sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+        worst.append(max(sizes, default=0))
+        return kept
+
+    monkeypatch.setattr(graph, "cut", spy)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.components(spark.range(1, 200_000).select(F.lit(hub).alias("u"), F.col("id").alias("v")), hot=1000)
+        assert got.count() in (199_999, 200_000) and got.select("root").distinct().count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(worst) < 3 * 200_000 / 8
+
+
+def test_equal_settings_of_one_plan(spark):
+    members = spark.createDataFrame([(i, i % 70, "ab"[i % 2]) for i in range(700)], "node bigint, root bigint, family string")
+    shares = {"train": 0.5, "valid": 0.2, "test": 0.3}
+    settings = [{"setting": 1, "family": "a", "seed": 4, **shares}, {"setting": 2, "family": "a", "seed": 5, **shares}, {"setting": 3, "family": "b", "seed": None, **shares}, {"setting": 4, "family": "none", "seed": 1, **shares}]
+    got = entities.assign_groups(members, settings)
+    counts = {(r["setting"], r["split"]): r["count"] for r in got.groupBy("setting", "split").count().collect()}
+    assert counts == {(s, n): 350 * p for s in (1, 2, 3) for n, p in zip(("train", "valid", "test"), (18 / 35, 7 / 35, 10 / 35))}
+    sides = {(r["setting"], r["root"]): r["split"] for r in got.collect()}
+    assert any(sides[1, r] != sides[2, r] for r in range(0, 70, 2))
 
 
 def test_contests_however_spelt(spark):
@@ -305,12 +338,36 @@ def test_pieces_cover_and_pause(spark):
         splitting.split_documents(df, 20, 10)
 
 
-def test_stretches_of_huge_texts_count_alike(monkeypatch):
-    text = long_texts()[0] * 3
-    whole = len(tokens.encode(text))
-    monkeypatch.setattr(tokens, "STRETCH", 1000)
-    assert abs(len(tokens.encode(text)) - whole) <= len(text) // 1000
-    assert len(tokens.encode("<|endoftext|>")) > 1
+def test_stretches_change_no_token(monkeypatch):
+    rng = random.Random(13)
+    mixed = "".join(rng.choice("ab '\n\t.,1é日  ") for _ in range(30000))
+    texts = [long_texts()[0] * 3, "a" * 30000, "日本語" * 20000, "don't can't 'so 's's'll " * 2000, "x  \n\n  y\t" * 3000, "ab1234.,;'s" * 4000, mixed]
+    enc, _ = tokens.encoder()
+    for text in texts:
+        whole = enc.encode_ordinary(text)
+        for stretch in (50, 1000, 1 << 20):
+            monkeypatch.setattr(tokens, "STRETCH", stretch)
+            assert tokens.encode(text).tolist() == whole
+    for blank in (" " * 20000, "\n" * 20000):
+        for text in (blank, "x" + blank, blank + "y", "x" + blank + ".", "x" + blank + " \n\u3000z"):
+            assert tokens.encode(text).tolist() == enc.encode_ordinary(text)
+    huge = " " * 3_000_000 + "x"
+    assert enc.decode(tokens.encode(huge).tolist()) == huge and len(tokens.encode("<|endoftext|>")) > 1
+
+
+def test_results_do_not_depend_on_settings(spark, small):
+    got = {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for name in ("p6_splits", "p7_pack"):
+                got.setdefault(name, []).append(sorted(map(repr, QUERIES[name](spark, small).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(a == b for a, b in got.values())
+    metas = {r[0] for r in spark.read.parquet(f"{small}/split_meta.parquet").select("meta_id").collect()}
+    assert {r[0] for r in QUERIES["p6_splits"](spark, small).select("meta_id").distinct().collect()} == metas
 
 
 # ---------------------------------------------------------------- leakage
