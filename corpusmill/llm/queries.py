@@ -116,7 +116,7 @@ def p6_splits(spark, sf):
 @R.add("p3_found")
 def p3_found(spark, sf):
     """Defective prompt and response pairs with the type of the defect."""
-    return defects.defective_pairs(table(spark, sf, "per_problem"))
+    return defects.defective_pairs(table(spark, sf, "per_problem"), table(spark, sf, "documents").select("text", "lang"))
 
 
 _KEY = r"""CASE WHEN s = '' THEN NULL WHEN dataset = 'code_contests' AND regexp_matches(s, '^[a-z]+(?:[^a-z0-9]+contest)?[^a-z0-9]*[0-9]+(?:[^a-z0-9]+problem)?[^a-z0-9]*([a-z][0-9]*)$')

@@ -9,7 +9,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import defects, entities, graph, leakage, neargroups, overlap, packing, sampling, splitting, tokens, words
+from corpusmill.llm import defects, entities, graph, languages, leakage, neargroups, overlap, packing, sampling, splitting, tokens, words
 from corpusmill.llm.fmindex import FMIndex, suffix_order
 from corpusmill.llm.queries import ORACLES, QUERIES
 
@@ -458,18 +458,92 @@ CASES = [
 ]
 
 
+LABELLED = {
+    "en": ["The function walks over the list and adds each of the numbers, so the result is the sum of all values.", "We sort the values first and then we only have to pass through the list once.", "Every step of the loop keeps the running total in one variable and returns it to the caller."],
+    "de": ["Zuerst lesen wir die Werte ein und sortieren sie, damit wir nur einmal durch die Liste gehen müssen.", "Schreibe ein Programm, das die Summe aller Werte der Liste berechnet und am Ende ausgibt.", "Danach zählen wir jede Stelle, an der die Grenze überschritten wird, und bilden dann die Summe."],
+    "es": ["Primero leemos los valores y los ordenamos para que solo haya que recorrer la lista una vez.", "Escribe un programa que calcule la suma de todos los valores de la lista y la muestre al final.", "Después contamos cada posición en la que se supera el límite y guardamos el resultado."],
+}
+
+
+def labelled(spark):
+    rows = [(t, lang if k % 2 else lang.upper() + " ") for lang, texts in LABELLED.items() for k, t in enumerate(texts * 3)] + [(None, "en"), ("Some text", None), ("Some text", "und"), ("", "de")]
+    return spark.createDataFrame(rows, "text string, lang string")
+
+
+def judged(spark, rows):
+    df = spark.createDataFrame(rows, "record_id bigint, problem_id string, prompt string, response string")
+    return {r["record_id"]: r["defect"] for r in defects.defective_pairs(df, labelled(spark)).collect()}
+
+
 def test_defects_of_known_pairs(spark):
     rows = [(i, f"q{i}", p, r) for i, (p, r, _) in enumerate(CASES)]
     rows += [(1000 + k, f"x{k}", PROMPT + f" Number {k}.", f"Regrettably that is not mine to write, whatever {w} it may be.") for k, w in enumerate("abcdefgh")]
-    rows += [(2000 + k, f"x{k}", PROMPT + f" Number {k}.", "A loop is enough for this.\n\n" + CODE) for k in range(8)]
+    rows = [(i, q, unrelated(i) if i >= 1000 else p, r) for i, q, p, r in rows]
+    rows += [(2000 + k, f"x{k}", unrelated(k), "A loop is enough for this.\n\n" + CODE) for k in range(8)]
     df = spark.createDataFrame(rows, "record_id bigint, problem_id string, prompt string, response string").withColumns({"id": F.lit(1), "defect": F.lit("x"), "h": F.lit(2), "error_type": F.lit("refusal")})
-    got = {r["record_id"]: r["defect"] for r in defects.defective_pairs(df).collect()}
+    got = {r["record_id"]: r["defect"] for r in defects.defective_pairs(df, labelled(spark)).collect()}
     want = {i: d for i, (_, _, d) in enumerate(CASES) if d} | {1000 + k: "refusal" for k in range(8)}
     assert got == want
-    assert defects.defective_pairs(df.filter("record_id < 0")).count() == 0
+    without = {r["record_id"]: r["defect"] for r in defects.defective_pairs(df).collect()}
+    assert without == {i: d for i, d in want.items() if d != "language"}
+    assert defects.defective_pairs(df.filter("record_id < 0"), labelled(spark)).count() == 0
+    assert defects.defective_pairs(df, labelled(spark).filter("lang = 'xx'")).count() == len(without)
+
+
+def unrelated(seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)) + "."
+
+
+def test_answers_with_one_opening_are_no_refusals(spark):
+    tails = ["sorting the numbers and taking the middle one of them.", "walking over the tree from its leaves and adding the weights.", "keeping a queue of open cells and marking those that were seen."]
+    # three problems, an opening shared, the answer in the same sentence
+    rows = [(i, f"q{i % 3}", unrelated(i % 3), f"We get the answer by {tails[i % 3]}") for i in range(6)]
+    # the same, the answer in sentences of its own
+    rows += [(10 + i, f"p{i % 3}", unrelated(10 + i % 3), f"This one is not hard at all. It is done by {tails[i % 3].upper()}") for i in range(6)]
+    # one problem, three variants of an opening
+    rows += [(20 + i, "one", unrelated(20), f"{('The plan is simple', 'The plan is quite simple', 'The plan is very simple')[i % 3]}, we add the numbers of the list.") for i in range(6)]
+    # several problem ids, copies of one prompt
+    rows += [(30 + i, f"c{i}", unrelated(30), "The plan is short, we take the largest number of the list.") for i in range(6)]
+    # short answers that differ in a number
+    rows += [(40 + i, f"n{i}", unrelated(40 + i), f"The answer is {i * 7}.") for i in range(8)]
+    assert judged(spark, rows) == {}
+    # a refusal late in a long text, and one behind a polite sentence that answers share
+    polite = "Thanks for the question about Peleham."
+    rows += [(50, "z", PROMPT, "Thank you so much for writing. " * 17 + "I cannot help with this and will not write it.")]
+    rows += [(60 + i, f"t{i}", unrelated(60 + i), f"{polite} No way that {w} comes from me. Try a book on boats.") for i, w in enumerate("abcdef")]
+    rows += [(70 + i, f"t{i}", unrelated(70 + i), f"{polite} It is a loop.\n\n{CODE}") for i in range(6)]
+    assert judged(spark, rows) == {50: "refusal"} | {60 + i: "refusal" for i in range(6)}
+
+
+def test_cluster_recall(spark):
+    rng = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(6, 14))] for _ in range(25)]
+    texts = set()
+    while len(texts) < 700:
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.add(" ".join(w))
+    texts = sorted(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "h bigint, sentence string")
+    cluster = {r["h"]: r["cluster"] for r in defects.opening_clusters(df).collect()}
+    grams = [set(defects.opening_grams(t)) for t in texts]
+    near_pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j])]
+    together = sum(i in cluster and cluster[i] == cluster.get(j) for i, j in near_pairs)
+    assert len(near_pairs) > 1000 and together >= 0.9 * len(near_pairs)
 
 
 def test_very_long_pair():
     text = "word " * 200_000
-    assert defects.judge_rows([text], [text])[0] == ["copy"]
-    assert defects.judge_rows(["x"], ["(" * 100_000])[0] == ["empty"]
+    assert defects.judge_rows([text], [text]).defect == ["copy"]
+    assert defects.judge_rows(["x"], ["(" * 100_000]).defect == ["empty"]
+
+
+def test_languages_are_told(spark):
+    model = languages.LanguageModel.fit(labelled(spark), 100, defects.prose_of)
+    assert model.names == ["de", "en", "es"]
+    told = [model.names[k] if k >= 0 else None for k in model.tell(["Die Summe aller Werte wird am Ende ausgegeben.", "the sum of all values is returned to the caller", "la suma de todos los valores de la lista", "x = 1", "", None], 6.0, 24)]
+    assert told == ["de", "en", "es", None, None, None]
+    assert languages.LanguageModel.fit(labelled(spark).filter("lang = 'en'"), 100, defects.prose_of) is None
