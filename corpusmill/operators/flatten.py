@@ -1,31 +1,72 @@
 """Problem 5: deeply nested records as related flat tables.
 
-One pass emits every child of every record as a row with the tag of its table, its own
-key, its parent's key, its place and its payload.  Tagged rows can be written partitioned
-by tag and read back table by table under the table's schema.
+A tree of ``Table`` describes the wanted tables: where their rows stand in a record, which
+fields they take and which tables hang below.  One depth-first pass over the records emits
+every row of every table with its tag, own key, parent key, place and payload; the tagged
+rows are written once, partitioned by tag, and each table is read back under its schema.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.runtime import shared_folder
+
 TAGGED = "tag string, rec_table string, rec_id bigint, pk string, parent_pk string, parent_pos bigint, pos bigint, payload string"
 _FIELDS = ["tag", "rec_table", "rec_id", "pk", "parent_pk", "parent_pos", "pos", "payload"]
 
-#: The flat tables: tag -> columns taken from the payload beside the keys.
-SCHEMAS = {
-    "record": "dataset string, problem_id string, fetched_at string",
-    "test": "input string, output string",
-    "file": "name string, content string",
-    "assert": "text string",
-    "challenge": "text string",
-    "solution": "text string, language string",
-}
+
+@dataclass(frozen=True)
+class Table:
+    """A flat table: its tag, the places of its rows, its fields and the tables below it.
+
+    A place is a path of keys to a list, from the record or from the row above; of several
+    given in one place the first that is there counts.  A field takes the first of its
+    paths with a value: text, number, boolean or list; a path that ends in ``{}`` takes
+    objects too, as JSON text; the empty path is the element itself; a path that starts
+    with ``~`` leads from the object that holds the list to a parallel list.
+    """
+
+    tag: str
+    places: tuple[tuple[str, ...], ...] = ()
+    fields: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    below: tuple[Table, ...] = ()
+
+    def schema(self) -> str:
+        return ", ".join(f"{name} string" for name in self.fields)
+
+    def all(self) -> Iterator[Table]:
+        yield self
+        for t in self.below:
+            yield from t.all()
+
+
+#: Problem records in any of their deliveries.
+RECORDS = Table(
+    "record",
+    fields={"dataset": ("dataset",), "problem_id": ("problem_id", "id", "name"), "statement": ("prompt", "content", "description", "problem_statement"), "meta": ("meta{}",), "fetched_at": ("fetched_at",)},
+    below=(
+        Table(
+            "test",
+            (("test",), ("test_cases.tests",)),
+            {"input": ("input.stdin", "input", ""), "output": ("output.stdout", "output")},
+            (Table("file", (("input.files",),), {"name": ("name",), "content": ("content", "")}),),
+        ),
+        Table("assert", (("test_cases.test_list",),), {"text": ("{}",)}),
+        Table("challenge", (("test_cases.challenge_test_list",),), {"text": ("{}",)}),
+        Table("solution", (("solutions.solution", "solutions"),), {"text": ("{}",), "language": ("~language",)}),
+    ),
+)
+
+
+# ---------------------------------------------------------------- JSON text
 
 
 def _opened(value):
@@ -33,140 +74,197 @@ def _opened(value):
     if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
         try:
             inner = json.loads(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             return value
         return inner if isinstance(inner, (list, dict)) else value
     return value
 
 
-def _text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-
+def _at(value, path: str):
+    """What stands at a path of keys; null where a step is missing."""
+    for key in path.split(".") if path else ():
+        value = _opened(value)
+        value = value.get(key) if isinstance(value, dict) else None
+    return value
 
-def visit_payload(payload: str | None) -> Iterator[tuple[str, str, str, int, int, str]]:
-    """Depth-first visit of one JSON record: (tag, path, parent path, parent place, place, payload).
 
-    Payloads that are null, no valid JSON or no object yield nothing.  Null elements are
-    skipped but counted in the places; fields of other kinds are left alone.
+def _text(value, objects: bool) -> str | None:
+    if isinstance(value, str) or value is None:
+        return value
+    return None if isinstance(value, dict) and not objects else json.dumps(value, ensure_ascii=False)
+
+
+def _field(value, paths: tuple[str, ...], holder, pos: int) -> str | None:
+    for path in paths:
+        if path.startswith("~"):
+            side = _opened(_at(holder, path[1:]))
+            found = _text(side[pos], True) if isinstance(side, list) and pos < len(side) else None
+        else:
+            found = _text(_at(value, path.removesuffix("{}")), path.endswith("{}"))
+        if found is not None:
+            return found
+    return None
+
+
+def _visit(table: Table, value, path: str, pos: int) -> Iterator[tuple[str, str, str, int, int, dict]]:
+    for below in table.below:
+        for place in below.places:
+            for where in place:
+                rows = _opened(_at(value, where))
+                if isinstance(rows, list):
+                    break
+            else:
+                continue
+            holder = _at(value, where.rpartition(".")[0])
+            for i, row in enumerate(rows):
+                if row is None:
+                    continue
+                inner = _opened(row)
+                here = f"{path}/{where}[{i}]"
+                yield below.tag, here, path, pos, i, {name: _field(row, paths, holder, i) for name, paths in below.fields.items()}
+                yield from _visit(below, inner, here, i)
+
+
+def visit_payload(payload: str | None, table: Table = RECORDS) -> Iterator[tuple[str, str, str, int, int, dict]]:
+    """Depth-first visit of one JSON record: (tag, path, parent path, parent place, place, fields).
+
+    The record's own row comes first; a payload that is null, no valid JSON or no object
+    has no other.  Null elements are skipped but counted in the places; lists and objects
+    given as JSON text count as such; the place of a row below the record itself is -1 for
+    its parent.  Fields of other kinds are left alone.
     """
-    if payload is None:
-        return
     try:
-        root = json.loads(payload)
+        root = json.loads(payload) if payload is not None else None
     except (ValueError, RecursionError):
-        return
-    if not isinstance(root, dict):
-        return
-    name = next((root[k] for k in ("id", "name") if root.get(k) is not None), None)
-    yield "record", "", "", -1, 0, json.dumps({"problem_id": _text(name)}, ensure_ascii=False)
-    cases = _opened(root.get("test_cases"))
-    cases = cases if isinstance(cases, dict) else {}
-    for where, tests in (("test", root.get("test")), ("test_cases.tests", cases.get("tests"))):
-        tests = _opened(tests)
-        for i, test in enumerate(tests if isinstance(tests, list) else ()):
-            if test is None:
-                continue
-            test = _opened(test)
-            inner = _opened(test.get("input")) if isinstance(test, dict) else None
-            output = test.get("output") if isinstance(test, dict) else None
-            path = f"{where}[{i}]"
-            given = inner.get("stdin") if isinstance(inner, dict) else test.get("input") if isinstance(test, dict) else test
-            shown = _opened(output)
-            yield "test", path, "", -1, i, json.dumps({"input": _text(given), "output": _text(shown.get("stdout") if isinstance(shown, dict) else output)}, ensure_ascii=False)
-            files = _opened(inner.get("files")) if isinstance(inner, dict) else None
-            for k, file in enumerate(files if isinstance(files, list) else ()):
-                if file is not None:
-                    file = _opened(file)
-                    known = {c: _text(file.get(c)) for c in ("name", "content")} if isinstance(file, dict) else {"content": _text(file)}
-                    yield "file", f"{path}.files[{k}]", path, i, k, json.dumps(known, ensure_ascii=False)
-    for tag, where in (("assert", "test_list"), ("challenge", "challenge_test_list")):
-        values = _opened(cases.get(where))
-        for i, value in enumerate(values if isinstance(values, list) else ()):
-            if value is not None:
-                yield tag, f"test_cases.{where}[{i}]", "", -1, i, json.dumps({"text": _text(value)}, ensure_ascii=False)
-    held = _opened(root.get("solutions"))
-    languages = _opened(held.get("language")) if isinstance(held, dict) else None
-    where = "solutions.solution" if isinstance(held, dict) else "solutions"
-    solutions = _opened(held.get("solution")) if isinstance(held, dict) else held
-    for i, value in enumerate(solutions if isinstance(solutions, list) else ()):
-        if value is not None:
-            language = languages[i] if isinstance(languages, list) and i < len(languages) else None
-            yield "solution", f"{where}[{i}]", "", -1, i, json.dumps({"text": _text(value), "language": _text(language)}, ensure_ascii=False)
-
-
-def flatten_json(records: DataFrame, id_col: str, json_col: str, rec_table: str, visit: Callable = visit_payload) -> DataFrame:
+        root = None
+    root = root if isinstance(root, dict) else {}
+    yield table.tag, "", "", -1, 0, {name: _field(root, paths, None, 0) for name, paths in table.fields.items()}
+    yield from _visit(table, root, "", -1)
+
+
+def flatten_json(records: DataFrame, id_col: str, json_col: str, rec_table: str, table: Table = RECORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Tagged rows of records whose nested part is JSON text: one visit a record, in Arrow batches.
 
     Keys are ``rec_table:id`` plus the path of the element, so children name their parents
-    without a join.  Records without children give their record row alone; null ids are
-    kept (their keys read ``null``).
+    without a join; a record without an id has a hash of its text in the key instead, so
+    only children of equal records share a parent.  ``carry`` names columns that fill the
+    record's fields of the same name.
     """
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
+        def made(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], _FIELDS)
+
         for batch in batches:
             out: list[list] = [[] for _ in _FIELDS]
-            for rid, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = f"{rec_table}:{'null' if rid is None else rid}"
-                for tag, path, parent, parent_pos, pos, body in visit(payload):
-                    top = not path
-                    row = (tag, rec_table, rid, key if top else f"{key}/{path}", None if top else f"{key}/{parent}" if parent else key, parent_pos, pos, body)
+            columns = [c.to_pylist() for c in batch.columns]
+            for rid, payload, *carried in zip(*columns):
+                key = f"{rec_table}:{rid}" if rid is not None else f"{rec_table}:null-{xxhash.xxh64_hexdigest(payload or '')}"
+                for tag, path, parent, parent_pos, pos, body in visit_payload(payload, table):
+                    if not path:
+                        body.update({c: v for c, v in zip(carry, carried) if v is not None})
+                    row = (tag, rec_table, rid, key + path, key + parent if path else None, parent_pos, pos, json.dumps({k: v for k, v in body.items() if v is not None}, ensure_ascii=False))
                     for column, value in zip(out, row):
                         column.append(value)
                 if len(out[0]) > 20_000:
-                    yield _batch(out)
+                    yield made(out)
                     out = [[] for _ in _FIELDS]
-            yield _batch(out)
+            yield made(out)
+
+    return records.select(F.col(id_col).cast("bigint"), F.col(json_col).cast("string"), *[F.col(c).cast("string") for c in carry]).mapInArrow(run, TAGGED)
+
 
-    def _batch(out):
-        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], _FIELDS)
+# ---------------------------------------------------------------- typed columns
 
-    return records.select(F.col(id_col).cast("bigint"), F.col(json_col).cast("string")).mapInArrow(run, TAGGED)
 
+def _type_at(kind, path: str):
+    """The type that a path of struct fields leads to, null if it leads nowhere."""
+    for key in path.split(".") if path else ():
+        kind = next((f.dataType for f in kind.fields if f.name == key), None) if kind is not None and kind.typeName() == "struct" else None
+    return kind
 
-def flatten_samples(samples: DataFrame, rec_table: str = "dataset_samples") -> DataFrame:
-    """Tagged rows of typed nested samples, in one generator on the JVM side.
 
-    The struct's fields may be missing, null or empty; null elements are skipped but
-    counted in the places.
+def _value(base: Column | None, path: str) -> Column:
+    """The column at a path, from an element or (null base) from the record."""
+    keys = path.split(".") if path else []
+    value = base if base is not None else F.col(keys.pop(0))
+    for key in keys:
+        value = value[key]
+    return value
+
+
+def _typed_fields(table: Table, base: Column | None, kind) -> Column:
+    """The payload of a row as JSON text."""
+    out = []
+    for name, paths in table.fields.items():
+        found = []
+        for path in paths:
+            bare = path.removesuffix("{}")
+            at = None if path.startswith("~") else _type_at(kind, bare)
+            if at is not None and (at.typeName() != "struct" or path.endswith("{}")):
+                value = _value(base, bare)
+                found.append(F.to_json(value) if at.typeName() in ("struct", "array", "map") else value.cast("string"))
+        if found:
+            out.append(F.coalesce(*found).alias(name))
+    return F.to_json(F.struct(*out)) if out else F.lit("{}")
+
+
+def _typed_rows(table: Table, base: Column | None, kind, key: Column, pos: Column) -> list[Column]:
+    """Arrays of tagged rows for all tables below ``table``, null where there are none."""
+    out = []
+    for below in table.below:
+        for place in below.places:
+            where = next((w for w in place if (t := _type_at(kind, w)) is not None and t.typeName() == "array"), None)
+            if where is None:
+                continue
+            inner = _type_at(kind, where).elementType
+            values = _value(base, where)
+
+            def row(x, i):  # called at once, within this turn of the loop
+                pk = F.concat(key, F.lit(f"/{where}["), i.cast("string"), F.lit("]"))
+                own = F.struct(F.lit(below.tag).alias("tag"), pk.alias("pk"), key.alias("parent_pk"), pos.alias("parent_pos"), i.cast("bigint").alias("pos"), _typed_fields(below, x, inner).alias("payload"))
+                parts = [F.array(own), *[F.coalesce(p, F.array().cast(_ROWS)) for p in _typed_rows(below, x, inner, pk, i.cast("bigint"))]]
+                return F.when(x.isNotNull(), F.concat(*parts) if len(parts) > 1 else parts[0])
+
+            out.append(F.flatten(F.filter(F.transform(values, row), lambda r: r.isNotNull())))
+    return out
+
+
+_ROWS = "array<struct<tag: string, pk: string, parent_pk: string, parent_pos: bigint, pos: bigint, payload: string>>"
+
+
+def flatten_typed(records: DataFrame, id_col: str, rec_table: str, table: Table = RECORDS) -> DataFrame:
+    """Tagged rows of records with typed nested columns, in one generator on the JVM side.
+
+    Paths of ``table`` that the schema does not have give nothing; structs and lists may be
+    missing, null or empty; null elements are skipped but counted in the places.
     """
-    key = F.concat(F.lit(rec_table + ":"), F.coalesce(F.col("sample_id").cast("string"), F.lit("null")))
-
-    def child(tag, where, values, body):
-        return F.transform(
-            values,
-            lambda x, i: F.when(
-                x.isNotNull(),
-                F.struct(F.lit(tag).alias("tag"), F.concat(key, F.lit(f"/{where}["), i.cast("string"), F.lit("]")).alias("pk"), key.alias("parent_pk"), i.cast("bigint").alias("pos"), F.to_json(body(x)).alias("payload")),
-            ),
-        )
-
-    text = lambda x: F.struct(x.alias("text"))
-    record = F.array(F.struct(F.lit("record").alias("tag"), key.alias("pk"), F.lit(None).cast("string").alias("parent_pk"), F.lit(0).cast("bigint").alias("pos"), F.to_json(F.struct("dataset", "problem_id", "fetched_at")).alias("payload")))
-    parts = [
-        record,
-        child("test", "test_cases.tests", F.col("test_cases.tests"), lambda x: F.struct(x["input"].alias("input"), x["output"].alias("output"))),
-        child("assert", "test_cases.test_list", F.col("test_cases.test_list"), text),
-        child("challenge", "test_cases.challenge_test_list", F.col("test_cases.challenge_test_list"), text),
-        child("solution", "solutions", F.col("solutions"), text),
-    ]
-    none = F.array().cast(samples.select(record.alias("a")).schema["a"].dataType)
-    rows = samples.select(F.col("sample_id").cast("bigint").alias("rec_id"), F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("c")).filter("c IS NOT NULL")
-    return rows.select(F.col("c.tag").alias("tag"), F.lit(rec_table).alias("rec_table"), "rec_id", F.col("c.pk").alias("pk"), F.col("c.parent_pk").alias("parent_pk"), F.lit(-1).cast("bigint").alias("parent_pos"), F.col("c.pos").alias("pos"), F.col("c.payload").alias("payload"))
-
-
-def children(tagged: DataFrame) -> DataFrame:
+    rid = F.col(id_col).cast("bigint")
+    text = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
+    key = F.concat(F.lit(rec_table + ":"), F.coalesce(rid.cast("string"), F.concat(F.lit("null-"), F.xxhash64(text).cast("string"))))
+    top = F.array(F.struct(F.lit(table.tag).alias("tag"), key.alias("pk"), F.lit(None).cast("string").alias("parent_pk"), F.lit(-1).cast("bigint").alias("parent_pos"), F.lit(0).cast("bigint").alias("pos"), _typed_fields(table, None, records.schema).alias("payload")))
+    parts = [top, *[F.coalesce(p, F.array().cast(_ROWS)) for p in _typed_rows(table, None, records.schema, key, F.lit(-1).cast("bigint"))]]
+    rows = records.select(rid.alias("rec_id"), F.explode(F.concat(*parts)).alias("c"))
+    return rows.select("c.tag", F.lit(rec_table).alias("rec_table"), "rec_id", "c.pk", "c.parent_pk", "c.parent_pos", "c.pos", "c.payload")
+
+
+# ---------------------------------------------------------------- tables
+
+
+def children(tagged: DataFrame, top: str = RECORDS.tag) -> DataFrame:
     """(rec_table, rec_id, child_kind, parent_pos, pos) of all elements, records themselves left out.
 
     A record that holds tests in both their places gives the places of both; the keys of
     ``tagged`` tell them apart, this view need not.
     """
-    return tagged.filter("tag <> 'record'").select("rec_table", "rec_id", F.col("tag").alias("child_kind"), "parent_pos", "pos")
+    return tagged.filter(F.col("tag") != top).select("rec_table", "rec_id", F.col("tag").alias("child_kind"), "parent_pos", "pos")
 
 
-def as_table(tagged: DataFrame, tag: str) -> DataFrame:
+def as_table(tagged: DataFrame, tag: str, table: Table = RECORDS) -> DataFrame:
     """One flat table under its schema: rec_table, rec_id, pk, parent_pk, parent_pos, pos and the payload's columns."""
-    body = F.from_json("payload", SCHEMAS[tag])
+    schema = next(t for t in table.all() if t.tag == tag).schema()
+    body = F.from_json("payload", schema)
     return tagged.filter(F.col("tag") == tag).select("rec_table", "rec_id", "pk", "parent_pk", "parent_pos", "pos", body.alias("b")).select("rec_table", "rec_id", "pk", "parent_pk", "parent_pos", "pos", "b.*")
 
 
@@ -175,6 +273,18 @@ def write_tables(tagged: DataFrame, path: str) -> None:
     tagged.write.partitionBy("tag").mode("overwrite").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
+def read_tagged(spark: SparkSession, path: str) -> DataFrame:
+    """The written rows of all tables; a filter on the tag reads that directory alone."""
+    return spark.read.schema(TAGGED).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, tag: str, table: Table = RECORDS) -> DataFrame:
     """One written table under its schema; the other tags' directories are not read."""
-    return as_table(spark.read.schema(TAGGED).parquet(path), tag)
+    return as_table(read_tagged(spark, path), tag, table)
+
+
+def stored(tagged: DataFrame, path: str | None = None) -> DataFrame:
+    """The tagged rows written once (to a new folder of the shared one unless ``path`` is given) and read back."""
+    path = path or shared_folder(tagged.sparkSession, "tagged")
+    write_tables(tagged, path)
+    return read_tagged(tagged.sparkSession, path)

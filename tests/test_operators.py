@@ -348,12 +348,34 @@ def test_flat_tables_round_trip(spark, tmp_path):
     assert rows(files.select("name", "parent_pos")) == [("a", 1)]
     assert files.join(tests, files["parent_pk"] == tests["pk"]).count() == 1
     assert rows(flatten.read_table(spark, str(tmp_path / "t"), "solution").filter("rec_id = 5").select("text", "language"), "text") == [("a", "1"), ("c", None)]
+    assert flatten.read_table(spark, str(tmp_path / "t"), "record").count() == len(PAYLOADS)
+
+
+def test_records_without_ids_keep_their_children(spark):
+    df = spark.createDataFrame([(None, json.dumps({"id": name, "test": [{"input": name}]})) for name in "ab"], "raw_id bigint, payload string")
+    tagged = flatten.stored(flatten.flatten_json(df, "raw_id", "payload", "raw"))
+    records, tests = flatten.as_table(tagged, "record"), flatten.as_table(tagged, "test")
+    joined = tests.select("parent_pk", "input").join(records.select(F.col("pk").alias("parent_pk"), "problem_id"), "parent_pk")
+    assert rows(joined.select("input", "problem_id"), "input") == [("a", "a"), ("b", "b")]
+
+
+def test_any_tree_of_tables(spark):
+    tree = flatten.Table("order", fields={"who": ("who.name", "who")}, below=(flatten.Table("line", (("lines",), ("more.lines",)), {"what": ("what",)}, (flatten.Table("note", (("notes",),), {"text": ("",)}),)),))
+    texts = ['{"who": {"name": "x"}, "lines": [{"what": "w", "notes": ["a", null, "b"]}, null, {"what": [1]}], "more": {"lines": "[{\\"what\\": 2}]"}}', '{"who": "y"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    tagged = flatten.flatten_json(df, "id", "t", "o", tree).cache()
+    assert rows(flatten.as_table(tagged, "order", tree).select("rec_id", "who"), "rec_id") == [(0, "x"), (1, "y")]
+    assert rows(flatten.as_table(tagged, "note", tree).select("parent_pk", "parent_pos", "pos", "text"), "pos") == [("o:0/lines[0]", 0, 0, "a"), ("o:0/lines[0]", 0, 2, "b")]
+    typed = spark.createDataFrame([(0, ("x",), [("w", ["a", None, "b"]), None])], "id bigint, who struct<name: string>, lines array<struct<what: string, notes: array<string>>>")
+    made = flatten.flatten_typed(typed, "id", "o", tree)
+    assert rows(flatten.as_table(made, "note", tree).select("parent_pk", "parent_pos", "pos", "text"), "pos") == [("o:0/lines[0]", 0, 0, "a"), ("o:0/lines[0]", 0, 2, "b")]
+    assert rows(flatten.as_table(made, "line", tree).select("pk", "parent_pos", "what"), "pk") == [("o:0/lines[0]", -1, "w")]
 
 
 def test_flatten_samples_edges(spark):
     schema = "sample_id bigint, dataset string, problem_id string, fetched_at timestamp, solutions array<string>, payload string, test_cases struct<tests: array<struct<input: string, output: string>>, test_list: array<string>, challenge_test_list: array<string>>"
     df = spark.createDataFrame([(1, None, None, None, None, "x", None), (2, "d", "p", None, [None, "s", ""], "x", ([("i", None), None], [], None))], schema)
-    assert rows(flatten.children(flatten.flatten_samples(df)), "child_kind", "pos") == [("dataset_samples", 2, "solution", -1, 1), ("dataset_samples", 2, "solution", -1, 2), ("dataset_samples", 2, "test", -1, 0)]
+    assert rows(flatten.children(flatten.flatten_typed(df, "sample_id", "dataset_samples")), "child_kind", "pos") == [("dataset_samples", 2, "solution", -1, 1), ("dataset_samples", 2, "solution", -1, 2), ("dataset_samples", 2, "test", -1, 0)]
 
 
 # ---------------------------------------------------------------- text, graders, layouts
