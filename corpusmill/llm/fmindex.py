@@ -48,11 +48,12 @@ class FMIndex:
     """Counts and finds patterns in a text of symbols 0..sigma-1 that ends in 0.
 
     ``step``: every so many-th place of a segment (its first one always) keeps its suffix
-    position, so a located match walks back ``step`` times at most.
+    position, so a located match walks back ``step`` times at most.  ``sa``: the suffix order, if it
+    is known already.
     """
 
-    def __init__(self, text: np.ndarray, sigma: int, step: int = 32):
-        sa = suffix_order(text)
+    def __init__(self, text: np.ndarray, sigma: int, step: int = 32, sa: np.ndarray | None = None):
+        sa = suffix_order(text) if sa is None else sa
         n = len(text)
         last = text[sa - 1]  # the place before 0 is the final separator
         self.n, self.sigma = n, sigma
@@ -92,11 +93,16 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pattern number, low, high) of the patterns (rows of symbols >= 1) that occur."""
-        which = np.arange(len(patterns))
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), self.n, np.int64)
-        for j in reversed(range(patterns.shape[1])):
-            c = patterns[which, j]
+        count, length = patterns.shape
+        return self.search_at(patterns.ravel(), np.arange(count) * length, length)
+
+    def search_at(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``search`` for the runs of ``length`` symbols (>= 1) that begin at ``starts`` of one array."""
+        which = np.arange(len(starts))
+        low = np.zeros(len(starts), np.int64)
+        high = np.full(len(starts), self.n, np.int64)
+        for j in reversed(range(length)):
+            c = symbols[starts[which] + j]
             low, high = self.step_back(c, low), self.step_back(c, high)
             alive = low < high
             which, low, high = which[alive], low[alive], high[alive]
