@@ -2,8 +2,10 @@
 
 The tokens of a text are written as a string of one letter each, which says what kind of
 boundary follows the token.  A pattern with bounded quantifiers, its alternatives in order
-of boundary strength, then consumes that string piece by piece in SQL; array functions
-turn the matches into token ranges and look back for the overlap.
+of boundary strength, then consumes that string piece by piece in SQL; the lengths of the
+matches, an array, give the token ranges by one running sum, and offsets into the array of
+characters look back for the overlap.  Every piece is encoded again on its own: one that
+does not keep the limit is cut once more.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from corpusmill.llm.tokens import TOKENIZER, encode, encoder
 #: Boundary letters, strongest first: paragraph, line, sentence, clause, word, bracket or comma
 #: without a space, character; x is inside a character.
 LETTERS = "pnscwkix"
-#: Tokens kept free in each piece: a cut inside a pre-token can change how its rest merges.
+#: Tokens kept free in each piece, so that one which merges otherwise on its own rarely has to be cut again.
 SLACK = 8
 
 _SPACE = np.zeros(256, bool)
@@ -78,16 +80,54 @@ def piece_pattern(core: int) -> str:
     return f".{{1,{core}}}$|{cuts}|.{{0,{core - 1}}}[^x]|.{{1,{core}}}"
 
 
+def _first(begin: int, overlap: int, chars: np.ndarray) -> int:
+    """The token at which a piece starts that looks back ``overlap`` tokens: on over tokens inside a character."""
+    look = max(begin - overlap, 0)
+    while look and chars[look - 1] == (chars[look - 2] if look > 1 else 0):
+        look -= 1  # the token before ends no character
+    return look
+
+
+def _cut_again(letters: str, begin: int, end: int) -> int:
+    """A cut inside (begin, end): the strongest boundary of the second half, the latest of its kind, else the middle."""
+    middle = (begin + end) // 2
+    for letter in LETTERS[:-1]:
+        at = letters.rfind(letter, middle, end - 1)
+        if at >= 0:
+            return at + 1
+    return max(begin + 1, middle)
+
+
+def token_ranges(text: str, letters: str, chars: np.ndarray, sizes: np.ndarray, max_tokens: int, overlap: int, path: str) -> list[tuple[int, int, int]]:
+    """(first token, begin of its own part, end) of every piece; each encodes to fewer than ``max_tokens`` tokens by itself.
+
+    ``sizes`` are the lengths of the pieces' own parts.  A piece of a single token, or of
+    a single character, is left as it is.
+    """
+    out, begin = [], 0
+    waiting = np.cumsum(sizes).tolist()[::-1]
+    while waiting:
+        end = waiting[-1]
+        first = _first(begin, overlap, chars) if out else 0
+        a, b = int(chars[first - 1]) if first else 0, int(chars[end - 1])
+        if end - begin > 1 and b - a > 1 and len(encode(text[a:b], path)) >= max_tokens:
+            waiting.append(_cut_again(letters, begin, end))
+            continue
+        out.append((first, begin, end))
+        begin = waiting.pop()
+    return out
+
+
 def split_documents(documents: DataFrame, max_tokens: int, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
     """(id, piece, pieces, first_token, n_tokens, overlap_tokens, start_char, end_char, text).
 
     One row a piece of every text of more than ``max_tokens`` tokens; other texts, null and
-    empty ones among them, give none.  A piece has fewer than ``max_tokens`` tokens, ends
-    at the strongest boundary in reach and, from the second on, repeats the last
-    ``overlap`` tokens before its own (a few more where these would start inside a
-    character).  Offsets are in characters (code points); the pieces without their overlap
-    join to the text again.  A text of at most ``max_tokens`` bytes cannot be oversized
-    and is not tokenised.
+    empty ones among them, give none.  A piece has fewer than ``max_tokens`` tokens, also
+    when it is encoded alone, ends at the strongest boundary in reach and, from the second
+    on, repeats the last ``overlap`` tokens before its own (a few more where these would
+    start inside a character).  Offsets are in characters (code points); the pieces without
+    their overlap join to the text again.  A text of at most ``max_tokens`` bytes cannot be
+    oversized and is not tokenised.  The work is linear in a text's length.
     """
     core = max_tokens - 1 - SLACK - overlap
     if core < 8:
@@ -106,43 +146,23 @@ def split_documents(documents: DataFrame, max_tokens: int, overlap: int = 0, id_
 
     large = documents.filter(F.octet_length(F.col(text_col)) > max_tokens).select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
     cut = large.mapInArrow(run, f"{id_col} bigint, text string, letters string, chars array<int>")
-    sizes = F.transform(F.regexp_extract_all("letters", F.lit(piece_pattern(core)), F.lit(0)), lambda m: F.length(m))
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    whole = cut.select(id_col, "text", "chars", ends.alias("ends"))
-    inside = lambda t: F.get("chars", t) == F.coalesce(F.get("chars", t - 1), F.lit(0))  # noqa: E731 - the token ends no character
-
-    def piece(k):
-        begin, end = F.get("ends", k), F.get("ends", k + 1)
-        # look back ``overlap`` tokens, and on over the tokens inside a character (three at most)
-        look = F.when(k == 0, F.lit(0)).otherwise(F.greatest(begin - overlap, F.lit(0)))
-        over = F.when((look == 0) | ~inside(look - 1), 0).when(~inside(look - 2), 1).when(~inside(look - 3), 2).otherwise(3)
-        first = look - over
-        return F.struct(
-            k.alias("piece"),
-            first.alias("first_token"),
-            (end - first).alias("n_tokens"),
-            (begin - first).alias("overlap_tokens"),
-            F.when(first == 0, F.lit(0)).otherwise(F.get("chars", first - 1)).alias("start_char"),
-            F.get("chars", end - 1).alias("end_char"),
-        )
-
-    made = whole.select(id_col, "text", F.transform(F.sequence(F.lit(0), F.size("ends") - 2), piece).alias("made"))
-    names = ["piece", "first_token", "n_tokens", "overlap_tokens", "start_char", "end_char"]
+    sized = cut.withColumn("sizes", F.transform(F.regexp_extract_all("letters", F.lit(piece_pattern(core)), F.lit(0)), lambda m: F.length(m)))
 
     def slices(batches):
-        # SQL's substring walks from the start of the text for every piece; a slice does not
         for batch in batches:
-            for rid, text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                flat = pieces.values
-                spans = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
-                n = len(flat)
-                texts = [text[a:b] for a, b in zip(spans[4], spans[5])]
+            for rid, text, letters, chars, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                chars, sizes = (np.asarray(c.values.to_numpy(zero_copy_only=False)) for c in (chars, sizes))
+                ranges = np.array(token_ranges(text, letters, chars, sizes, max_tokens, overlap, path), np.int64).reshape(-1, 3)
+                first, begin, end = ranges.T
+                n = len(ranges)
+                starts = np.where(first > 0, chars[first - 1], 0).astype(np.int64)
+                ends = chars[end - 1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rid] * n, pa.int64()), pa.array(spans[0].astype(np.int32)), pa.array([n] * n, pa.int32()), *(pa.array(c.astype(np.int64)) for c in spans[1:]), pa.array(texts, pa.string())],
-                    [id_col, "piece", "pieces", *names[1:], "text"],
+                    [pa.array([rid] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([n] * n, pa.int32()), *(pa.array(c) for c in (first, end - first, begin - first, starts, ends)), pa.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.string())],
+                    [id_col, "piece", "pieces", "first_token", "n_tokens", "overlap_tokens", "start_char", "end_char", "text"],
                 )
 
-    return made.mapInArrow(slices, f"{id_col} bigint, piece int, pieces int, first_token bigint, n_tokens bigint, overlap_tokens bigint, start_char bigint, end_char bigint, text string")
+    return sized.mapInArrow(slices, f"{id_col} bigint, piece int, pieces int, first_token bigint, n_tokens bigint, overlap_tokens bigint, start_char bigint, end_char bigint, text string")
 
 
 def split_by_limits(documents: DataFrame, limits: DataFrame, **options) -> DataFrame:

@@ -338,6 +338,16 @@ def test_pieces_cover_and_pause(spark):
         splitting.split_documents(df, 20, 10)
 
 
+def test_pieces_over_the_limit_are_cut_again():
+    text = long_texts()[0]
+    letters, chars = splitting.boundary_letters(text)
+    # ranges far above the limit, as if every piece merged badly
+    ranges = splitting.token_ranges(text, letters, chars, np.array([900, len(letters) - 900]), 100, 10, tokens.TOKENIZER)
+    assert ranges[0][1] == 0 and ranges[-1][2] == len(letters) and all(a[2] == b[1] and b[0] <= b[1] - 10 for a, b in zip(ranges, ranges[1:]))
+    for first, _, end in ranges:
+        assert len(tokens.encode(text[chars[first - 1] if first else 0 : chars[end - 1]])) < 100
+
+
 def test_stretches_change_no_token(monkeypatch):
     rng = random.Random(13)
     mixed = "".join(rng.choice("ab '\n\t.,1é日  ") for _ in range(30000))
