@@ -66,7 +66,7 @@ def pieces_to_pack(counts: DataFrame, capacity: int, id_col: str = "doc_id") ->
     return counts.filter("n_tokens > 0").select(id_col, "n_tokens", part.alias("part")).select(id_col, "part", first.alias("first_token"), F.least(n - first, F.lit(capacity)).cast("bigint").alias("n_tokens"))
 
 
-def pack(counts: DataFrame, capacity: int, id_col: str = "doc_id", max_slots: int = 20_000_000) -> DataFrame:
+def pack(counts: DataFrame, capacity: int, id_col: str = "doc_id", max_slots: int = 4_000_000) -> DataFrame:
     """(container, offset, id, part, first_token, n_tokens): every item's place in a container.
 
     ``counts`` holds (id, n_tokens).  Items with null or no tokens need no place and are

@@ -125,20 +125,32 @@ _KEY = r"""CASE WHEN s = '' THEN NULL WHEN dataset = 'code_contests' AND regexp_
     THEN regexp_extract(s, '\(\s*([a-z]+)\s*\)$', 1) || '/' || regexp_extract(s, '^0*([0-9]+)', 1) || '/' || regexp_extract(s, '^[0-9]+[^a-z0-9]*([a-z][0-9]*)\.', 1) ELSE s END"""
 
 
-@R.add(
-    "p4_sample",
-    f"""WITH n AS (SELECT *, lower(trim(regexp_replace(problem_id, '\\s+', ' ', 'g'))) AS s FROM manifest), i AS (SELECT dataset, {_KEY} AS key, sample_id, min(version) AS version FROM n WHERE version IS NOT NULL GROUP BY 1, 2, 3),
+_P4 = f"""WITH n AS (SELECT *, lower(trim(regexp_replace(problem_id, '\\s+', ' ', 'g'))) AS s FROM manifest), i AS (SELECT dataset, {_KEY} AS key, sample_id, min(version) AS version FROM n WHERE version IS NOT NULL GROUP BY 1, 2, 3),
 a AS (SELECT meta_id, sampling.seed AS seed, key, greatest(version, strftime(created_at, '%Y%m%d_%H%M%S')) AS v, count(*) AS w, sampling.requested_valid_big_size AS size, sampling.fraction AS fraction
   FROM i JOIN split_meta m ON m.dataset = i.dataset WHERE key IS NOT NULL AND (sampling.prefix IS NULL OR starts_with(key, lower(trim(sampling.prefix)))) GROUP BY ALL),
 t AS (SELECT meta_id, v, sum(sum(w)) OVER (PARTITION BY meta_id ORDER BY v) AS total FROM a GROUP BY meta_id, v),
 o AS (SELECT a.*, t.total, sum(w) OVER (PARTITION BY a.meta_id, key ORDER BY a.v) AS own FROM a JOIN t ON t.meta_id = a.meta_id AND t.v = a.v),
 c AS (SELECT meta_id, seed, key, max(own) AS weight, max(least(1.0, own * least(1.0, coalesce(fraction, size / total, 0.0)))) AS chance FROM o GROUP BY 1, 2, 3)
-SELECT meta_id, seed, key AS problem_key, CAST(weight AS DOUBLE) AS weight, round(CAST(chance AS DOUBLE), 9) AS chance FROM c WHERE CAST('0x' || substr(sha256(coalesce(CAST(seed AS VARCHAR), '') || '|' || key), 1, 13) AS BIGINT) / 4503599627370496.0 < chance""",
-)
+SELECT meta_id, seed, key AS problem_key, CAST(weight AS DOUBLE) AS weight, round(CAST(chance AS DOUBLE), 9) AS chance FROM c WHERE CAST('0x' || substr(sha256(coalesce(CAST(seed AS VARCHAR), '') || '|' || key), 1, 13) AS BIGINT) / 4503599627370496.0 < chance"""
+
+
+def _sampled(state):
+    return sampling.selected(state).select(F.col("stratum").alias("meta_id"), "seed", F.col("key").alias("problem_key"), "weight", F.round("chance", 9).alias("chance"))
+
+
+@R.add("p4_sample", _P4)
 def p4_sample(spark, sf):
-    """The growing-stable sample of problems for each row of split_meta."""
-    sample, _ = sampling.consistent_sample(sampling.manifest_arrivals(table(spark, sf, "manifest"), table(spark, sf, "split_meta")))
-    return sample.select(F.col("stratum").alias("meta_id"), "seed", F.col("key").alias("problem_key"), "weight", F.round("chance", 9).alias("chance"))
+    """The growing-stable sample of problems for each row of split_meta, from its stored state."""
+    return _sampled(sampling.stored_state(sampling.manifest_arrivals(table(spark, sf, "manifest"), table(spark, sf, "split_meta"))))
+
+
+@R.add("p4_grown", _P4)
+def p4_grown(spark, sf):
+    """The same sample reached in two steps: the state after the earlier half of versions is stored, the rest goes on from it."""
+    rows = sampling.manifest_arrivals(table(spark, sf, "manifest"), table(spark, sf, "split_meta"))
+    middle = rows.agg(F.percentile_approx(F.translate("version", "_", "").cast("bigint"), 0.5)).first()[0] or 0
+    late = F.translate("version", "_", "").cast("bigint") > middle
+    return _sampled(sampling.stored_state(rows.filter(late), sampling.stored_state(rows.filter(~late))))
 
 
 @R.add("p7_pack")
