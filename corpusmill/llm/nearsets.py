@@ -136,6 +136,11 @@ def frequency_sketch(docs: DataFrame, n: int, min_words: int, bits: int) -> Freq
     return FrequencySketch(docs.sparkSession, bytes(table), bits)
 
 
+def rank_of_count(count: int) -> int:
+    """The sketch's rank of a shingle that occurs so often."""
+    return 0 if count < 2 else int(min(255, 1 + math.floor(16 * math.log2(count) - 16)))
+
+
 def _classes(per: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class hash of every row's token set (order-free sum of mixed tokens), and each row's first token."""
     first = np.concatenate(([0], np.cumsum(per)))
@@ -144,9 +149,10 @@ def _classes(per: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, sketch: FrequencySketch, n: int, min_words: int, threshold: float) -> DataFrame:
-    """(id, salt, cls, size, tokens, pos) of every row with at least ``min_words`` words.
+    """(id, salt, cls, size, tokens, pos, ranks) of every row with at least ``min_words`` words.
 
-    ``tokens`` is the row's prefix in the global order, ``pos`` each token's place in it.
+    ``tokens`` is the row's prefix in the global order, ``pos`` each token's place in it,
+    ``ranks`` their frequency ranks.
     Tokens that the sketch has seen once only can meet no other row and are left out, so
     the arrays are short and travel to later joins in place of the text.
     """
@@ -165,17 +171,18 @@ def prefixes(docs: DataFrame, sketch: FrequencySketch, n: int, min_words: int, t
             at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=b - a)[some]))).astype(np.int32))
             idx = pa.array(some)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").slice(a, b - a).take(idx), part.column("salt").slice(a, b - a).take(idx), pa.array(cls[some]), pa.array(per[some].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(tok[order][keep])), pa.ListArray.from_arrays(at, pa.array(pos[keep].astype(np.int32)))],
-                ["id", "salt", "cls", "size", "tokens", "pos"],
+                [part.column("id").slice(a, b - a).take(idx), part.column("salt").slice(a, b - a).take(idx), pa.array(cls[some]), pa.array(per[some].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(tok[order][keep])), pa.ListArray.from_arrays(at, pa.array(pos[keep].astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(rank[order][keep].astype(np.int16)))],
+                ["id", "salt", "cls", "size", "tokens", "pos", "ranks"],
             )
 
-    return docs.mapInArrow(run, "id bigint, salt bigint, cls bigint, size int, tokens array<bigint>, pos array<int>")
+    return docs.mapInArrow(run, "id bigint, salt bigint, cls bigint, size int, tokens array<bigint>, pos array<int>, ranks array<smallint>")
 
 
 def postings(rows: DataFrame, *keys: str) -> DataFrame:
-    """(token, cls, size, pos, keys) of the prefixes, each class once for every value of ``keys``."""
-    each = rows.select("cls", *keys, "size", "tokens", "pos").dropDuplicates(["cls", *keys])
-    return each.select("cls", *keys, "size", F.explode(F.arrays_zip("tokens", "pos")).alias("p")).select(F.col("p.tokens").alias("token"), "cls", *keys, "size", F.col("p.pos").alias("pos"))
+    """(token, cls, size, pos, rank, keys) of the prefixes, each class once for every value of ``keys``."""
+    each = rows.select("cls", *keys, "size", "tokens", "pos", "ranks").dropDuplicates(["cls", *keys])
+    zipped = each.select("cls", *keys, "size", F.explode(F.arrays_zip("tokens", "pos", "ranks")).alias("p"))
+    return zipped.select(F.col("p.tokens").alias("token"), "cls", *keys, "size", F.col("p.pos").alias("pos"), F.col("p.ranks").alias("rank"))
 
 
 def near_enough(a: str, b: str, threshold: float):
@@ -222,4 +229,4 @@ def prepared(df: DataFrame, id_col: str, text_col: str, salt: int = 0, *carry: s
     return df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.lit(salt).cast("bigint").alias("salt"), F.lower(F.col(text_col)).alias("text"), *carry)
 
 
-__all__ = ["FrequencySketch", "cut", "frequency_sketch", "near_enough", "postings", "prefixes", "prepared", "sketch_bits", "token_sets"]
+__all__ = ["FrequencySketch", "cut", "frequency_sketch", "near_enough", "postings", "prefixes", "prepared", "rank_of_count", "sketch_bits", "token_sets"]

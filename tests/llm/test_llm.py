@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -109,6 +110,18 @@ def test_hot_copies_cost_a_link_each(spark):
     assert got.count() == 1000 and got.select("group_id").distinct().count() == 1
 
 
+def test_boilerplate_of_single_texts_stays_linear(spark):
+    n = 100_000
+    common = " ".join(f"word{i}" for i in range(16))
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"v{i}x"), "id") for i in range(6)])
+    df = spark.range(n).select(F.col("id").alias("sample_id"), F.concat_ws(" ", F.lit(common), own, F.when(F.col("id") % 2 == 0, F.lit("even more words of it"))).alias("prompt"))
+    began = time.monotonic()
+    # 14 of 20 shingles are common, less than what 0.7 asks for; five texts are repeated
+    got = neargroups.near_groups(df.union(df.filter("sample_id < 5").withColumn("sample_id", F.col("sample_id") + n)), "sample_id", ["prompt"], 0.7, 3, 20)
+    assert {tuple(r) for r in got.collect()} == {(i + k, i) for i in range(5) for k in (0, n)}
+    assert time.monotonic() - began < 120
+
+
 @pytest.mark.parametrize("hot", [3, 20, 1000])
 def test_crowded_shingles_lose_no_link(spark, hot):
     rng = random.Random(12)
