@@ -50,6 +50,18 @@ def p1_report(spark, sf):
     return overlap.overlap_report(overlap.cross_split_pairs(samples, manifest), samples, manifest)
 
 
+@R.add(
+    "p1_links",
+    _P1
+    + """, s AS (SELECT sh.sample_id, md5(string_agg(s, chr(10) ORDER BY s)) AS key FROM sh JOIN sp ON sp.sample_id = sh.sample_id WHERE sp.split IS NOT NULL GROUP BY 1),
+c AS (SELECT sample_id, min(sample_id) OVER (PARTITION BY key) AS class_id FROM s), n AS (SELECT id, count(*) AS links FROM (SELECT sample_id_a AS id FROM found UNION ALL SELECT sample_id_b FROM found) GROUP BY id)
+SELECT sample_id, class_id, links FROM c JOIN n ON id = sample_id""",
+)
+def p1_links(spark, sf):
+    """Every record with near ones across the splits: its class of equal texts and how many there are."""
+    return overlap.cross_split_links(table(spark, sf, "dataset_samples"), table(spark, sf, "manifest"))
+
+
 @R.add(
     "p2_found",
     f"""WITH RECURSIVE {_SHINGLES.format(name='sp', column='prompt')}, {_SHINGLES.format(name='sd', column='description')},

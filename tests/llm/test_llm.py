@@ -162,6 +162,16 @@ def test_cross_split_pairs_against_brute_force(spark):
     want = {(j, i) for i in range(len(p)) for j in range(i) if side[i] is not None and side[j] is not None and side[i] != side[j] and near(s[i], s[j])}
     got = overlap.cross_split_pairs(df, m)
     assert {tuple(r) for r in got.collect()} == want and want
+    links = Counter(i for pair in want for i in pair)
+    rows = overlap.cross_split_links(df, m).collect()
+    assert {r["sample_id"]: r["links"] for r in rows} == links
+    assert all(r["class_id"] == min(i for i in range(len(p)) if side[i] is not None and s[i] == s[r["sample_id"]]) for r in rows)
+    before = overlap.HOT_POSTINGS
+    try:
+        overlap.HOT_POSTINGS = 3
+        assert {tuple(r) for r in overlap.cross_split_pairs(df, m).collect()} == want
+    finally:
+        overlap.HOT_POSTINGS = before
     report = overlap.overlap_report(got, df.withColumn("dataset", F.lit("d")), m)
     assert report.agg(F.sum("pairs")).first()[0] == len(want)
     assert overlap.cross_split_pairs(df, m.filter("sample_id < 0")).count() == 0
