@@ -386,21 +386,39 @@ def test_canonical_prompt(spark):
     assert [r[0] for r in df.select(T.canonical_prompt("p")).collect()] == ["a\n\nb\nc", "", ""]
 
 
-def test_textbook_answers():
-    for a, b in [("\\dfrac12", "\\frac{1}{2}"), ("0.5", "\\frac{1}{2}"), ("1/2", "\\frac{1}{2}"), ("x=3", "3"), ("\\sqrt3", "\\sqrt{3}"), ("50\\%", "50"), (".5", "0.5"), ("3\\text{ cm}", "3"), ("90^\\circ", "90")]:
-        assert G.textbook_equal(a, b), (a, b)
-    assert not G.textbook_equal("1/3", "1/2") and G.textbook_equal(None, None) and not G.textbook_equal("a", None)
+def held(spark, pairs, column):
+    df = spark.createDataFrame(list(pairs), "a string, b string")
+    return [r[0] for r in df.select(column).collect()]
 
 
-def test_values():
-    for a, b in [("1,000", "1000"), ("50%", "0.5"), ("(1, 2]", "(1,2]"), ("\\frac{1}{3}", "0.33333"), ("1e3", "1000"), ("(1/2, 3)", "(0.5, 3.0)"), ("\\begin{pmatrix}1 & 2\\\\3 & 4\\end{pmatrix}", "\\begin{pmatrix}1.0&2\\\\3&4\\end{pmatrix}")]:
-        assert G.values_equal(a, b), (a, b)
-    for a, b in [("1", "2"), ("(1,2)", "[1,2]"), ("x", "y"), ("__import__('os')", "1"), (None, "1"), ("1/0", "1")]:
-        assert not G.values_equal(a, b), (a, b)
+def test_textbook_answers(spark):
+    pairs = [("\\dfrac12", "\\frac{1}{2}"), ("0.5", "\\frac{1}{2}"), ("1/2", "\\frac{1}{2}"), ("x=3", "3"), ("\\sqrt3", "\\sqrt{3}"), ("50\\%", "50"), (".5", "0.5"), ("3\\text{ cm}", "3"), ("90^\\circ", "90"), ("\\frac1{72}", "\\frac{1}{72}"), (None, None), ("\\frac1", "\\frac1"), ("", "")]
+    assert held(spark, pairs, G.textbook_equal("a", "b")) == [True] * len(pairs)
+    assert held(spark, [("1/3", "1/2"), ("a", None), ("3\\text{ cm}\\text{ mm}", "3"), ("a=b=c", "c")], G.textbook_equal("a", "b")) == [False] * 4
 
 
-def test_boxed():
-    assert G.last_boxed("a \\boxed{\\frac{1}{2}} b") == "\\frac{1}{2}" and G.last_boxed("\\boxed{1") is None and G.last_boxed("\\boxed 7$ x") == "7" and G.last_boxed(None) is None
+def test_values(spark):
+    same = [("1,000", "1000"), ("50%", "0.5"), ("(1, 2]", "(1,2]"), ("\\frac{1}{3}", "0.33333"), ("1e3", "1000"), ("(1/2, 3)", "(0.5, 3.0)"), ("\\begin{pmatrix}1 & 2\\\\3 & 4\\end{pmatrix}", "\\begin{pmatrix}1.0&2\\\\3&4\\end{pmatrix}")]
+    assert held(spark, same, G.values_equal("a", "b")) == [True] * len(same)
+    other = [("1", "2"), ("(1,2)", "[1,2]"), ("x", "y"), ("__import__('os')", "1"), (None, "1"), ("1/0", "1"), (None, None), ("", "1")]
+    assert held(spark, other, G.values_equal("a", "b")) == [False] * len(other)
+
+
+def test_marked_answers(spark):
+    texts = ["We add. The answer is: 42. Done", "so 7 apples\nx 12 is the answer", "it is \\boxed{3} or so", "First. Hence x equals 5.", "nothing here", None, "", "Final answer: about 9\nmore"]
+    got = held(spark, [(t, None) for t in texts], F.struct(G.matched_answer("a")["matched"], G.matched_answer("a")["pred"]))
+    assert [tuple(r) for r in got] == [(True, "42"), (True, "12"), (True, "3"), (True, "5"), (False, "nothing here"), (False, None), (False, ""), (True, "about 9")]
+
+
+def test_boxed(spark):
+    texts = ["a \\boxed{\\frac{1}{2}} b", "\\boxed{1", "\\boxed 7$ x", None, "\\boxed{1} \\boxed{2}", "\\boxed{}", "none", "\\boxed{a{b}c{{d}}}}"]
+    assert held(spark, [(t, None) for t in texts], G.last_boxed("a")) == ["\\frac{1}{2}", None, "7", None, "2", "", None, "a{b}c{{d}}"]
+    assert held(spark, [(t, None) for t in texts[:3]], G.last_boxed("a", loose=False)) == ["\\frac{1}{2}", None, None]
+
+
+def test_final_answers(spark):
+    texts = {"1,000 dollars": "1000", "$\\frac12$": "\\frac{1}{2}", "\\sqrt3 units": "\\sqrt{3}", "x = \\text{5}": "5", "\\boxed{7}": "7", "12": "12", "a": "a"}
+    assert held(spark, [(t, None) for t in texts], G.final_answer("a")) == list(texts.values())
 
 
 def test_unknown_source_is_an_error(spark):
