@@ -98,6 +98,17 @@ def chat_rows(turns: DataFrame, conv="conv_id", turn="turn", role="role", tokens
     return whole.select(conv, ids.alias("input_ids"), loss.alias("loss_mask")).withColumn("position_ids", F.transform("input_ids", lambda t, i: i))
 
 
+def template_prefixes(once, twice, prompted) -> dict[str, Column]:
+    """``system`` and ``generation``: the tokens that a chat template puts before all messages and before an answer.
+
+    Given are the template's tokens for one empty user message, for two of them, and for
+    one with the generation prompt.  What the second message adds is a message's length;
+    what stands before the first one is the system prompt, empty if there is none.
+    """
+    a, b, c = _c(once), _c(twice), _c(prompted)
+    return {"system": F.slice(a, 1, F.greatest(F.lit(0), 2 * F.size(a) - F.size(b))), "generation": F.slice(c, F.size(a) + 1, F.size(c))}
+
+
 def cut_request(ids, response_start, max_model: int, max_response: int) -> Column:
     """The tokens of a request cut to the model's length and its response to its own limit."""
     return F.slice(_c(ids), 1, F.least(F.lit(max_model), _c(response_start) + max_response))

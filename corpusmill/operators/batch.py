@@ -255,3 +255,28 @@ def set_relations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def map_chunks(batch: DataFrame, workers: int, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Applies ``fn`` to the batch spread over ``workers`` partitions by ordinal; the rows come back with their ordinals."""
     return fn(batch.repartition(workers, F.col(IDX)))
+
+
+def one_to_all(batch: DataFrame, workers: int) -> DataFrame:
+    """Every row for each of ``workers`` workers: adds ``worker``."""
+    return batch.withColumn("worker", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(workers - 1).cast("bigint"))))
+
+
+def to_mesh(batch: DataFrame, groups: list[int], size: int) -> DataFrame:
+    """Rows for the workers of a mesh: adds ``worker``; ``groups`` names each worker's data group.
+
+    The batch is cut into as many runs as there are groups, padded with rows from its head
+    where they do not divide it (``padding`` marks these); every worker of a group gets
+    the group's run.
+    """
+    n = max(groups) + 1
+    whole, _ = pad_to_divisor(batch, n, size)
+    cut = chunk(whole, n, size + -size % n).withColumn("padding", F.col(IDX) >= size)
+    workers = F.array(*[F.array(*[F.lit(w).cast("bigint") for w, g in enumerate(groups) if g == k]) for k in range(n)])
+    return cut.withColumn("worker", F.explode(F.get(workers, F.col("chunk").cast("int")))).drop("chunk")
+
+
+def from_mesh(outputs: DataFrame, collects: list[bool]) -> DataFrame:
+    """What the workers that ``collects`` names give back, padding left out: one row an ordinal."""
+    kept = [w for w, yes in enumerate(collects) if yes]
+    return outputs.filter(F.col("worker").isin(kept) & ~F.col("padding")).drop("worker", "padding")

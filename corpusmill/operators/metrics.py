@@ -337,6 +337,51 @@ def verdict_rollup(verdicts: DataFrame, key: list[str], status="status") -> Data
     return verdicts.groupBy(*key).agg(n.alias("n_tests"), (ok / n).alias("pass_ratio"), (n == ok).alias("accepted"), kind.alias("error_type"))
 
 
+def _first_error(statuses, kinds: dict[str, str], otherwise: str):
+    """What the first status that names an error is called; ``otherwise`` if none does."""
+    named = F.filter(statuses, lambda x: F.coalesce(x.isin(*kinds), F.lit(False)))
+    first = F.try_element_at(named, F.lit(1))
+    out = None
+    for status, name in kinds.items():
+        out = F.when(first == status, name) if out is None else out.when(first == status, name)
+    return out.otherwise(otherwise)
+
+
+#: What a stored status is called as an error type.
+STATUS_ERRORS = {"syntax_error": "syntax_error", "compile_error": "syntax_error", "runtime_error": "runtime_error", "timeout": "timeout"}
+
+
+def stored_verdicts(rows: DataFrame, completion="completion", statuses="statuses", accepted="accepted", score="score", failure="failure") -> DataFrame:
+    """Adds ``accepted``, ``pass_ratio``, ``error_type`` and ``test_count`` from verdicts that a judge has stored.
+
+    A row holds either what a submission returned (``accepted`` and one status a test) or
+    what scoring returned (``score`` and the statuses); ``failure`` is the error text of a
+    call that failed.  A blank completion is ``empty_output``, a failed call ``api_error``;
+    both pass nothing.  The ratio is the share of tests with status success (without tests
+    it follows ``accepted``), or the score, and all tests pass where the score is 1.  The
+    error type is that of the first status that names one, else a wrong answer; a scored
+    row without any status is ``unknown``.
+    """
+    list_ = F.coalesce(F.col(statuses), F.array().cast("array<string>"))
+    n, scored = F.size(list_), F.col(score).isNotNull()
+    yes = F.when(scored, F.col(score) == 1.0).otherwise(F.coalesce(F.col(accepted), F.lit(False)))
+    passed = F.size(F.filter(list_, lambda x: x == "success"))
+    ratio = F.when(scored, F.col(score)).when(n > 0, passed / n).otherwise(yes.cast("double"))
+    # scoring tells syntax errors by compile_error alone and calls what passed a wrong answer
+    by_score = F.when(n == 0, "unknown").otherwise(_first_error(list_, {k: v for k, v in STATUS_ERRORS.items() if k != "syntax_error"}, "wrong_answer"))
+    kind = F.when(scored, by_score).when(yes, "success").otherwise(_first_error(list_, STATUS_ERRORS, "wrong_answer"))
+    blank = F.coalesce(F.trim(F.regexp_replace(completion, r"\s", " ")) == "", F.lit(True))
+    lost = blank | F.col(failure).isNotNull()
+    return rows.withColumns(
+        {
+            "test_count": n,
+            "pass_ratio": F.when(lost, F.lit(0.0)).otherwise(ratio),
+            "error_type": F.when(blank, "empty_output").when(F.col(failure).isNotNull(), "api_error").otherwise(kind),
+            "accepted": ~lost & yes,
+        }
+    )
+
+
 def tail_ratios(timings: DataFrame, k: float, by: list[str], value="seconds") -> DataFrame:
     """(by, mean, min, max, bar, tail_ratio): the share of values above the 1 - k/100 quantile of all."""
     bar = timings.agg(F.percentile(value, F.lit(1 - k / 100)).alias("bar"))

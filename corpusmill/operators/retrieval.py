@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.runtime import collect_bounded
+
 
 def normalized(vector) -> Column:
     """A vector at length 1 (null for one of length 0)."""
@@ -36,7 +38,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5, query="quer
     base = vectors.select(F.col(doc).cast("bigint").alias("d"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("d IS NOT NULL AND v IS NOT NULL")
     out = None
     for part in range(max(1, -(-n // block))):
-        rows = q.filter(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))) == part).collect()
+        rows = collect_bounded(q.filter(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))) == part), 4 * block, "queries of a block")
         width = len(rows[0]["v"]) if rows else 0
         ids = np.array([r["q"] for r in rows], np.int64)
         shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r["v"] for r in rows], float).reshape(len(rows), width)))
@@ -73,7 +75,8 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.2,
 
     The query words are few and known, so documents are reduced to the words that queries
     ask for before anything is shuffled; lengths and counts still cover all documents.
-    Empty texts count as documents of length 0.
+    Empty texts count as documents of length 0.  Scores are rounded to six decimals before
+    they are ranked, so that the order of a sum decides no tie; ties go by document.
     """
     asked = queries.select(F.col(query).alias(query), F.explode(words(F.col(query_text))).alias("word")).groupBy(query, "word").agg(F.count(F.lit(1)).alias("qf"))
     sized = documents.select(F.col(doc).alias(doc), words(F.coalesce(F.col(doc_text), F.lit(""))).alias("__w"))
@@ -83,7 +86,7 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.2,
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(F.broadcast(totals)).select("word", F.col("__avg"), F.ln(1 + (F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # a one-row table
     term = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
-    scored = tf.join(idf, "word").join(asked, "word").groupBy(query, doc).agg(F.sum(term).alias("score"))
+    scored = tf.join(idf, "word").join(asked, "word").groupBy(query, doc).agg(F.round(F.sum(term), 6).alias("score"))
     return _top(scored, k, query, doc)
 
 

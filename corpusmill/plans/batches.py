@@ -184,3 +184,25 @@ def u12_sets(spark, sf):
 @R.add("u14_dispatch", f"WITH {_O} SELECT idx, o_totalprice * 2 AS twice FROM orders_")
 def u14_dispatch(spark, sf):
     return B.map_chunks(_orders(spark, sf), 4, lambda d: d.select("idx", (F.col("o_totalprice") * 2).alias("twice")))
+
+
+@R.add("u14b_one_to_all", f"WITH {_O} SELECT idx, w AS worker FROM orders_, range(3) AS r(w)")
+def u14b_one_to_all(spark, sf):
+    """Every row for every worker."""
+    return B.one_to_all(_orders(spark, sf).select("idx"), 3)
+
+
+@R.add("u14b_mesh", f"WITH {_O} SELECT idx, o_totalprice + 1 AS up FROM orders_")
+def u14b_mesh(spark, sf):
+    """Two workers a data group, uneven rows padded; the first of each group gives its rows back."""
+    orders = _orders(spark, sf)
+    sent = B.to_mesh(orders.select("idx", "o_totalprice"), [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6], orders.count())
+    return B.from_mesh(sent.select("idx", "worker", "padding", (F.col("o_totalprice") + 1).alias("up")), [True, False] * 7)
+
+
+@R.add("u14b_mesh_sent", f"WITH {_O}, n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 7.0) AS BIGINT) AS k FROM orders_) SELECT w AS worker, k AS rows FROM n, range(14) AS r(w)")
+def u14b_mesh_sent(spark, sf):
+    """How many rows each worker of the mesh is sent."""
+    orders = _orders(spark, sf)
+    sent = B.to_mesh(orders.select("idx"), [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6], orders.count())
+    return sent.groupBy("worker").agg(F.count(F.lit(1)).alias("rows"))

@@ -177,6 +177,107 @@ def io2_read_sft(spark, sf):
     return IO.read_sft(spark, [f"{sf}/dataset_samples.parquet"], ["test_cases", "type"], ["canonical_solution"])
 
 
+def _written(spark, name):
+    from corpusmill.functions.runtime import shared_folder
+
+    return shared_folder(spark, name)
+
+
+@R.add("io3_preferences", "SELECT prompt, canonical_solution AS chosen, solutions[1] AS rejected FROM dataset_samples")
+def io3_preferences(spark, sf):
+    """Preference rows written to parquet and read back through the scan."""
+    path = _written(spark, "preferences") + ".parquet"
+    rows = table(spark, sf, "dataset_samples")
+    rows.select("sample_id", "prompt", F.col("canonical_solution").alias("chosen"), F.get("solutions", 0).alias("rejected")).write.parquet(path)
+    return IO.read_preferences(spark, [path])
+
+
+@R.add("io4_conversations", "SELECT len(['x', 'y']) AS turns, coalesce(prompt, '') AS first, coalesce(response, '') AS last, CAST(NULL AS VARCHAR) AS tools FROM per_problem")
+def io4_conversations(spark, sf):
+    """Multi-turn rows written as JSON lines and read back through the scan."""
+    path = _written(spark, "conversations") + ".jsonl"
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.coalesce(c, F.lit("")).alias("content"))
+    IO.write_json_lines(table(spark, sf, "per_problem").select("record_id", F.array(turn("user", F.col("prompt")), turn("assistant", F.col("response"))).alias("messages")), path)
+    rows = IO.read_conversations(spark, [path], tools="tools")
+    return rows.select(F.size("messages").cast("bigint").alias("turns"), F.col("messages")[0]["content"].alias("first"), F.col("messages")[1]["content"].alias("last"), "tools")
+
+
+@R.add("io7_json_lines", "SELECT record_id, run_id, prompt, accepted, pass_ratio FROM per_problem")
+def io7_json_lines(spark, sf):
+    """Records through the JSON lines writer and reader."""
+    path = _written(spark, "lines")
+    columns = ["record_id", "run_id", "prompt", "accepted", "pass_ratio"]
+    IO.write_json_lines(table(spark, sf, "per_problem").select(*columns), path)
+    return IO.read_json_lines(spark, path, "record_id bigint, run_id string, prompt string, accepted boolean, pass_ratio double")
+
+
+@R.add("io7b_run_output", "SELECT record_id, dataset, error_type, false AS sampled FROM per_problem")
+def io7b_run_output(spark, sf):
+    """A run's folder: one file of per-problem records a dataset, and a sampled log that is passed over."""
+    folder = _written(spark, "run")
+    rows = table(spark, sf, "per_problem").select("record_id", "dataset", "error_type")
+    known = F.coalesce(F.col("dataset") == "mbpp_reg", F.lit(False))
+    IO.write_json_lines(rows.filter(known), f"{folder}/per_problem_mbpp_reg.jsonl")
+    IO.write_json_lines(rows.filter(~known), f"{folder}/per_problem_other.jsonl")
+    IO.write_json_lines(rows.filter("record_id % 50 = 0"), f"{folder}/qa_logs/some.jsonl")
+    return IO.load_run(spark, folder).select("record_id", "dataset", "error_type", "sampled")
+
+
+@R.add("io7c_manifest", "SELECT problem_id, count(*) AS n FROM manifest WHERE trim(problem_id) <> '' GROUP BY problem_id")
+def io7c_manifest(spark, sf):
+    """A manifest of unique, non-empty ids, written and read through the check."""
+    path = _written(spark, "manifest")
+    IO.write_json_lines(table(spark, sf, "manifest").filter("trim(problem_id) <> ''").groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")), path)
+    return IO.read_manifest(spark, path).select("problem_id", "n")
+
+
+@R.add("io9_split_sinks", "SELECT sample_id, CAST(dataset AS VARCHAR) AS dataset FROM dataset_samples WHERE dataset = 'humaneval'")
+def io9_split_sinks(spark, sf):
+    """Parquet sinks, one directory a split, of which one is read."""
+    path = _written(spark, "splits")
+    IO.write_splits(table(spark, sf, "dataset_samples").select("sample_id", "dataset"), path, "dataset")
+    return spark.read.parquet(path).filter("dataset = 'humaneval'")
+
+
+@R.add("io10_saved_batch", "SELECT event_id AS idx, value FROM events")
+def io10_saved_batch(spark, sf):
+    """A batch saved, then served from the rollout cache without being made again."""
+    path = _written(spark, "batch")
+    IO.save_batch(table(spark, sf, "events").select(F.col("event_id").alias("idx"), "value"), path)
+    return IO.cached_rollout(spark, path, lambda: None)
+
+
+@R.add("io15_resumed_loader", "SELECT event_id, event_id AS place FROM events WHERE event_id >= 123")
+def io15_resumed_loader(spark, sf):
+    """What a loader has still to give out after its state was stored at a step."""
+    from corpusmill.operators.sampling import ordered
+
+    folder = _written(spark, "loader")
+    IO.save_loader(spark, folder, 7, {"epoch": 0, "position": 123, "seed": 0})
+    return IO.remaining(ordered(table(spark, sf, "events").select("event_id"), "sequential", key="event_id"), IO.load_loader(spark, folder))
+
+
+@R.add("io16_viewer", "SELECT record_id % 3 AS file_step, prompt AS input, pass_ratio AS score FROM per_problem WHERE contains(prompt, 'the') OR contains(response, 'the')")
+def io16_viewer(spark, sf):
+    """Dumped generations of three steps, searched for a word."""
+    folder = _written(spark, "generations")
+    rows = table(spark, sf, "per_problem").select("record_id", F.col("prompt").alias("input"), F.col("response").alias("output"), F.col("pass_ratio").alias("score"))
+    for step in range(3):
+        IO.dump_generations(rows.filter(F.col("record_id") % 3 == step), folder, step)
+    return IO.view_generations(spark, folder, "the", ["input", "score"])
+
+
+@R.add("f25c_template_prefixes", "SELECT doc_id, [doc_id % 7, 1] AS system, [2, doc_id % 3] AS generation FROM documents")
+def f25c_template_prefixes(spark, sf):
+    """System and generation prompts found from what a template makes of empty messages."""
+    from corpusmill.functions import sequences
+
+    d = F.col("doc_id")
+    head, message, prompt = F.array(d % 7, F.lit(1).cast("bigint")), F.array(F.lit(5).cast("bigint"), d % 11, F.lit(6).cast("bigint")), F.array(F.lit(2).cast("bigint"), d % 3)
+    found = sequences.template_prefixes(F.concat(head, message), F.concat(head, message, message), F.concat(head, message, prompt))
+    return table(spark, sf, "documents").select("doc_id", found["system"].alias("system"), found["generation"].alias("generation"))
+
+
 @R.add("t13_ratio_splits", "WITH u AS (SELECT problem_id, CAST('0x' || substr(sha256('7|' || problem_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM (SELECT DISTINCT problem_id FROM manifest WHERE problem_id IS NOT NULL)) SELECT problem_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'valid' ELSE 'test' END AS split FROM u")
 def t13_ratio_splits(spark, sf):
     ids = table(spark, sf, "manifest").select("problem_id").filter("problem_id IS NOT NULL").distinct()

@@ -108,34 +108,112 @@ def f7_minerva(spark, sf):
 
 
 def _boxed(spark, sf):
-    e = F.col("event_id")
-    told = F.when(e % 4 == 0, "\\boxed{\\frac{1}{2}}").when(e % 4 == 1, "\\boxed{x=\\dfrac12}").when(e % 4 == 2, F.concat(F.lit("\\boxed{"), (e % 50).cast("string"), F.lit("\\%}"))).otherwise("no box, is 0.5")
-    return table(spark, sf, "events").select(e.alias("idx"), F.concat(F.lit("<think>hm</think> so "), told).alias("s"), F.lit("0.5").alias("t"))
+    """Real responses with an answer in one of several notations behind them, and truths that some of them meet."""
+    e = F.col("record_id")
+    told = F.when(e % 4 == 0, "\\boxed{\\frac{1}{2}}").when(e % 4 == 1, "\\boxed{x=\\dfrac12}").when(e % 4 == 2, F.concat(F.lit("\\boxed{"), (e % 5).cast("string"), F.lit("\\%}"))).otherwise("no box, is 0.5")
+    truth = F.when(e % 3 == 0, "0.5").when(e % 3 == 1, "\\frac{1}{2}").otherwise(F.lit("3"))
+    text = F.concat(F.lit("<think>"), F.coalesce("response", F.lit("")), F.lit("</think> so "), told)
+    return table(spark, sf, "per_problem").select(e.alias("idx"), text.alias("s"), told.alias("told"), truth.alias("t"))
+
+
+_NOTATION = r"regexp_replace(regexp_replace(replace(replace({x}, 'dfrac', 'frac'), '\%', ''), '^[^=]{0,2}=([^=]*)$', '\1'), '\\frac([^{])([^{])', '\\frac{\1}{\2}')"
+_FORM = "CASE WHEN {n} IN ('0.5', '1/2') THEN '\\frac{{1}}{{2}}' ELSE {n} END"
+
 
+def _form(x: str) -> str:
+    return _FORM.format(n=_NOTATION.replace("{x}", x))
 
-_BOXED = "CASE WHEN event_id % 4 IN (0, 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 
+_BOXED = r"""WITH b AS (SELECT record_id AS idx, response, CASE record_id % 4 WHEN 0 THEN '\boxed{\frac{1}{2}}' WHEN 1 THEN '\boxed{x=\dfrac12}' WHEN 2 THEN '\boxed{' || CAST(record_id % 5 AS VARCHAR) || '\%}' ELSE 'no box, is 0.5' END AS told, CASE record_id % 3 WHEN 0 THEN '0.5' WHEN 1 THEN '\frac{1}{2}' ELSE '3' END AS t FROM per_problem),
+g AS (SELECT idx, t, told, '<think>' || coalesce(response, '') || '</think> so ' || told AS s FROM b), p AS (SELECT *, regexp_extract_all(s, '\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}', 1)[-1] AS pred FROM g),
+m AS (SELECT *, CASE WHEN pred IS NOT NULL AND """ + _form("pred") + " = " + _form("t") + " THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS math FROM p)"
 
-@R.add("f6_math", f"SELECT event_id AS idx, {_BOXED} AS score FROM events")
+
+@R.add("f6_math", _BOXED + " SELECT idx, math AS score FROM m")
 def f6_math(spark, sf):
     return _boxed(spark, sf).select("idx", G.math_score("s", "t").alias("score"))
 
 
-@R.add("f7_strict_box", "SELECT event_id AS idx, -1.0::DOUBLE AS score, CASE event_id % 4 WHEN 0 THEN '\\frac{1}{2}' WHEN 1 THEN 'x=\\dfrac12' WHEN 2 THEN CAST(event_id % 50 AS VARCHAR) || '\\%' END AS pred FROM events")
+@R.add("f7_strict_box", _BOXED + " SELECT idx, CASE WHEN pred = t THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score, pred FROM m")
 def f7_strict_box(spark, sf):
     return _boxed(spark, sf).select("idx", G.strict_box_score("s", "t").alias("r")).select("idx", "r.score", "r.pred")
 
 
-@R.add("f8_values", "SELECT event_id AS idx, CASE WHEN event_id % 4 <> 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events")
+_NUMBER = r"CASE WHEN {x} ~ '^.frac.*' THEN CAST(regexp_extract({x}, '\{{(\d+)\}}\{{', 1) AS DOUBLE) / CAST(regexp_extract({x}, '\}}\{{(\d+)\}}', 1) AS DOUBLE) ELSE CAST({x} AS DOUBLE) END"
+
+
+@R.add(
+    "f8_values",
+    _BOXED
+    + ", a AS (SELECT idx, "
+    + _form("coalesce(regexp_extract_all(told, '\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}', 1)[-1], regexp_extract(told, ' is (.*)$', 1))")
+    + " AS x, "
+    + _form("t")
+    + " AS y FROM g), v AS (SELECT idx, "
+    + _NUMBER.format(x="x")
+    + " AS x, "
+    + _NUMBER.format(x="y")
+    + " AS y FROM a) SELECT idx, CASE WHEN abs(x - y) <= 1e-4 * greatest(x, y) OR abs(x - y / 100) <= 1e-4 * greatest(x, y / 100) OR abs(x - y * 100) <= 1e-4 * greatest(x, y * 100) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM v",
+)
 def f8_values(spark, sf):
-    return _boxed(spark, sf).select("idx", G.value_score("s", "t")["score"].alias("score"))
+    """The marked answer compared by value: its number, or a hundred times more or less."""
+    return _boxed(spark, sf).select("idx", G.value_score("told", "t")["score"].alias("score"))
 
 
-@R.add("f10_geometry", f"SELECT event_id AS idx, round(0.9 * {_BOXED} + 0.1 * CASE WHEN event_id % 4 < 3 THEN 1 ELSE 0 END, 6) + 0.0 AS score FROM events")
+@R.add("f10_geometry", _BOXED + " SELECT idx, round(0.9 * math + 0.1 * CASE WHEN pred IS NOT NULL THEN 1 ELSE 0 END, 6) + 0.0 AS score FROM m")
 def f10_geometry(spark, sf):
     return rounded(_boxed(spark, sf).select("idx", G.geometry_score("s", "t").alias("score")))
 
 
+_RESPONSES = r"a AS (SELECT record_id, replace(replace(regexp_extract_all(right(response, 300), '#### (\-?[0-9\.\,]+)', 1)[-1], ',', ''), '$', '') AS strict, regexp_extract_all(right(response, 300), '(\-?[0-9\.\,]+)', 1) AS found FROM per_problem)"
+
+
+@R.add("f5_responses", "WITH " + _RESPONSES + " SELECT record_id, strict, coalesce(list_filter(found, lambda x: x NOT IN ('', '.'))[-1], found[1]) AS flexible FROM a")
+def f5_responses(spark, sf):
+    """Answers of word problems taken from real responses."""
+    return table(spark, sf, "per_problem").select("record_id", G.gsm_answer("response").alias("strict"), G.gsm_answer("response", "flexible").alias("flexible"))
+
+
+@R.add(
+    "f11_responses",
+    r"""WITH a AS (SELECT record_id, trim(regexp_replace(regexp_replace(translate(lower(title), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS golden, r FROM (SELECT record_id, run_id AS title, '<answer>' || run_id || '</answer> <answer> The ' || coalesce(run_id, '') || CASE WHEN accepted THEN '.' ELSE ' of ' || dataset END || ' </answer>' AS r FROM per_problem)),
+n AS (SELECT record_id, golden, trim(regexp_replace(regexp_replace(translate(lower(regexp_extract_all(r, '(?s)<answer>(.*?)</answer>', 1)[-1]), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM a)
+SELECT record_id, norm, CASE WHEN norm = golden THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact, CASE WHEN contains(norm, golden) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS part FROM n""",
+)
+def f11_responses(spark, sf):
+    """Question answers built from the evaluation records' own fields, right and wrong ones."""
+    r = F.concat(F.lit("<answer>"), "run_id", F.lit("</answer> <answer> The "), F.coalesce("run_id", F.lit("")), F.when(F.col("accepted"), ".").otherwise(F.concat(F.lit(" of "), "dataset")), F.lit(" </answer>"))
+    rows = table(spark, sf, "per_problem").select("record_id", r.alias("r"), F.array("run_id").alias("golden"))
+    return rows.select("record_id", G.normal_answer(G.qa_answer("r")).alias("norm"), G.qa_score("r", "golden").alias("exact"), G.qa_score("r", "golden", substring=True).alias("part"))
+
+
+@R.add(
+    "f9_math_equal",
+    """WITH e AS (SELECT event_id AS idx, event_id % 40 + 1 AS a, user_id % 9 + 1 AS b FROM events)
+SELECT idx, CASE idx % 4 WHEN 0 THEN a % b = 0 AND (a / b = 2 OR a / b = 200) WHEN 1 THEN abs(a - b) <= 1e-4 * greatest(a, b) OR abs(a * 100 - b) <= 1e-4 * greatest(a * 100, b) OR abs(a - b * 100) <= 1e-4 * greatest(a, b * 100)
+  WHEN 2 THEN a = b ELSE a = b END AS same FROM e""",
+)
+def f9_math_equal(spark, sf):
+    """Equality of fractions and whole numbers, decimals, pairs and matrices that events spell."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("idx"), (F.col("event_id") % 40 + 1).alias("a"), (F.col("user_id") % 9 + 1).alias("b"))
+    a, b, k = F.col("a").cast("string"), F.col("b").cast("string"), F.col("idx") % 4
+    x = F.when(k == 0, F.concat(a, F.lit("/"), b)).when(k == 1, F.concat(a, F.lit(".0"))).when(k == 2, F.concat(F.lit("("), a, F.lit(", 1/2)"))).otherwise(F.concat(F.lit("\\begin{pmatrix}"), a, F.lit(" & 1\\end{pmatrix}")))
+    y = F.when(k == 0, "2").when(k == 1, b).when(k == 2, F.concat(F.lit("("), b, F.lit(", 0.5)"))).otherwise(F.concat(F.lit("\\begin{pmatrix}"), b, F.lit("&1.0\\end{pmatrix}")))
+    return e.select("idx", G.values_equal(x, y, percent=True).alias("same"))
+
+
+@R.add("f12_batch_scores", _BOXED + " SELECT idx, math AS score FROM m")
+def f12_batch_scores(spark, sf):
+    """The batch manager with a scorer that sees whole Arrow batches."""
+    from corpusmill.operators import rewards
+
+    def scorer(batch):
+        return [1.0 if G.literals_equal(x, y, percent=False) else 0.0 for x, y in zip(batch["response"], batch["ground_truth"])]
+
+    rows = _boxed(spark, sf).select("idx", F.lit("math").alias("data_source"), G.textbook_safe(G.last_boxed("s")).alias("response"), G.textbook_safe("t").alias("ground_truth"))
+    return rewards.batch(rows, scorer).select("idx", "score")
+
+
 @R.add("f13_router", "SELECT event_id AS idx, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 9 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM events")
 def f13_router(spark, sf):
     e = F.col("event_id")

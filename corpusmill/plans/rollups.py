@@ -237,7 +237,7 @@ def a22_masked_stats(spark, sf):
     return rounded(M.masked_stats(tokens(spark, sf), "x", "mask"))
 
 
-@R.add("a22_whiten", f"WITH {TOKENS}, s AS (SELECT avg(x) AS m, var_samp(x) AS v FROM tokens WHERE mask = 1) SELECT seq, t, round((x - m) / sqrt(v + 1e-8), 6) + 0.0 AS whitened FROM tokens, s")
+@R.add("a22_whiten", f"WITH {TOKENS}, s AS (SELECT seq, t, x, avg(CASE WHEN mask = 1 THEN x END) OVER () AS m, var_samp(CASE WHEN mask = 1 THEN x END) OVER () AS v FROM tokens) SELECT seq, t, round((x - m) / sqrt(v + 1e-8), 6) + 0.0 AS whitened FROM s")
 def a22_whiten(spark, sf):
     from corpusmill.operators.advantages import whiten
 
@@ -262,6 +262,24 @@ def a24_verdicts(spark, sf):
     return rounded(M.verdict_rollup(rows, ["dataset", "problem_id"]), "pass_ratio")
 
 
+@R.add(
+    "a24b_stored_verdicts",
+    """WITH v AS (SELECT record_id, response, accepted, CASE WHEN record_id % 3 = 0 THEN pass_ratio END AS score, CASE WHEN error_type = 'timeout' AND record_id % 2 = 0 THEN 'no reply' END AS failure,
+  list_filter([CASE WHEN record_id % 4 > 0 THEN 'success' END, CASE error_type WHEN 'success' THEN 'success' WHEN 'syntax_error' THEN 'compile_error' ELSE error_type END], lambda x: x IS NOT NULL) AS st FROM per_problem),
+w AS (SELECT *, coalesce(trim(regexp_replace(response, '\\s', ' ', 'g')) = '', true) AS blank, list_filter(st, lambda x: x IN ('syntax_error', 'compile_error', 'runtime_error', 'timeout'))[1] AS e FROM v)
+SELECT record_id, CASE WHEN blank OR failure IS NOT NULL THEN false WHEN score IS NOT NULL THEN score = 1 ELSE coalesce(accepted, false) END AS accepted,
+  round(CASE WHEN blank OR failure IS NOT NULL THEN 0.0 WHEN score IS NOT NULL THEN score WHEN len(st) > 0 THEN len(list_filter(st, lambda x: x = 'success')) / len(st) WHEN accepted THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS pass_ratio,
+  CASE WHEN blank THEN 'empty_output' WHEN failure IS NOT NULL THEN 'api_error' WHEN score IS NOT NULL THEN CASE WHEN len(st) = 0 THEN 'unknown' WHEN e = 'compile_error' THEN 'syntax_error' WHEN e IS NOT NULL THEN e ELSE 'wrong_answer' END
+    WHEN accepted THEN 'success' WHEN e = 'compile_error' THEN 'syntax_error' WHEN e IS NOT NULL THEN e ELSE 'wrong_answer' END AS error_type, CAST(len(st) AS INT) AS test_count FROM w""",
+)
+def a24b_stored_verdicts(spark, sf):
+    """Stored judge replies as evaluation results: submissions and scored ones, failed calls, empty completions."""
+    e = F.col("error_type")
+    first, second = F.when(F.col("record_id") % 4 > 0, "success"), F.when(e == "syntax_error", "compile_error").otherwise(e)
+    rows = table(spark, sf, "per_problem").select("record_id", F.col("response").alias("completion"), "accepted", F.when(F.col("record_id") % 3 == 0, F.col("pass_ratio")).alias("score"), F.when((e == "timeout") & (F.col("record_id") % 2 == 0), "no reply").alias("failure"), F.filter(F.array(first, second), lambda x: x.isNotNull()).alias("statuses"))
+    return rounded(M.stored_verdicts(rows).select("record_id", "accepted", "pass_ratio", "error_type", "test_count"), "pass_ratio")
+
+
 @R.add("a25_totals", "SELECT dataset, count(*) AS total, count(*) FILTER (finish_reason = 'length') AS truncated, count(*) FILTER (error_type = 'timeout') AS timeouts, round(count(*) FILTER (finish_reason = 'length') / count(*), 6) + 0.0 AS truncation_rate, round(count(*) FILTER (error_type = 'timeout') / count(*), 6) + 0.0 AS timeout_rate, count(*) FILTER (finish_reason = 'length') / count(*) > 0.05 AS truncation_high, count(*) FILTER (error_type = 'timeout') / count(*) > 0.1 AS timeout_high FROM per_problem GROUP BY dataset")
 def a25_totals(spark, sf):
     return rounded(M.eval_totals(table(spark, sf, "per_problem")), "truncation_rate", "timeout_rate")

@@ -86,12 +86,48 @@ def t7_balanced(spark, sf):
     return T.balanced(_batches(spark, sf, 64), 8)
 
 
-@R.add("t8_greedy")
+_GREEDY = f"""WITH RECURSIVE {_PADDED}, w AS (SELECT idx // 64 AS batch, idx, idx % 64 AS k, 24576 * (length * 37) + (length * 37) * (length * 37) AS w FROM padded),
+s AS (SELECT DISTINCT batch, CAST(-1 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS part, list_transform(range(8), lambda x: CAST(0 AS BIGINT)) AS sums, list_transform(range(8), lambda x: CAST(0 AS BIGINT)) AS n FROM w
+  UNION ALL SELECT batch, k, idx, part, list_transform(sums, lambda x, i: x + CASE WHEN i = part + 1 THEN w ELSE 0 END), list_transform(n, lambda x, i: x + CASE WHEN i = part + 1 THEN 1 ELSE 0 END) FROM (
+    SELECT s.batch, w.k, w.idx, w.w, s.sums, s.n, list_position(list_transform(s.sums, lambda x, i: CASE WHEN s.n[i] < 8 THEN x END), list_min(list_transform(s.sums, lambda x, i: CASE WHEN s.n[i] < 8 THEN x END))) - 1 AS part FROM s JOIN w ON w.batch = s.batch AND w.k = s.k + 1))
+SELECT batch, idx, part FROM s WHERE k >= 0"""
+
+
+@R.add("t8_greedy", _GREEDY)
 def t8_greedy(spark, sf):
     """The same by the greedy method."""
     return T.balanced(_batches(spark, sf, 64), 8, method="greedy")
 
 
+@R.add("t10_groups_whole", f"WITH {_PADDED} SELECT idx // 64 AS batch, CAST(idx // 4 AS VARCHAR) AS uid, 1 AS parts, count(*) AS rows FROM padded GROUP BY 1, 2")
+def t10_groups_whole(spark, sf):
+    """Every run of rows with one prompt lies in one part."""
+    b = _batches(spark, sf, 64)
+    got = T.balanced_groups(b, 4).join(b.select("batch", "idx", "uid"), ["batch", "idx"])
+    return got.groupBy("batch", "uid").agg(F.count_distinct("part").cast("int").alias("parts"), F.count(F.lit(1)).alias("rows"))
+
+
+@R.add("t11_micro_whole", f"WITH {_PADDED}, b AS (SELECT idx // 64 AS batch, count(*) AS rows, CAST(sum(length * 37) AS BIGINT) AS tokens, CAST(least(count(*), ceil(sum(length * 37) / 2048.0)) AS BIGINT) AS micros FROM padded GROUP BY 1) SELECT batch, rows, tokens, micros, true AS near FROM b")
+def t11_micro_whole(spark, sf):
+    """Micro-batches hold every row of their batch once, in the right number, none far above the limit."""
+    b = _batches(spark, sf, 64)
+    got = T.micro_batches(b, 2048).join(b.select("batch", "idx", "length"), ["batch", "idx"]).groupBy("batch", "micro").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"))
+    return got.groupBy("batch").agg(F.sum("rows").alias("rows"), F.sum("tokens").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("micros"), (F.max("tokens") <= 2.0 * 2048).alias("near"))
+
+
+@R.add("t12_order_whole", f"WITH {_PADDED} SELECT idx // 64 AS batch, p.part, list_transform(range(8), lambda x: CAST(x AS BIGINT)) AS places, true AS small_ends FROM padded, range(8) AS p(part) GROUP BY 1, 2")
+def t12_order_whole(spark, sf):
+    """In each part every place is taken once, workloads rise and then fall."""
+    b = _batches(spark, sf, 64)
+    got = T.balance_order(T.balanced(b, 8).join(b.select("batch", "idx", "length"), ["batch", "idx"]))
+    per = got.groupBy("batch", "part").agg(F.sort_array(F.collect_list(F.struct(F.col("place").cast("bigint").alias("place"), "length"))).alias("p"))
+    lengths = F.transform("p", lambda x: x["length"])
+    top = F.array_position(lengths, F.array_max(lengths)).cast("int")
+    rising = F.slice(lengths, F.lit(1), top) == F.sort_array(F.slice(lengths, F.lit(1), top))
+    rest = F.slice(lengths, top, F.size(lengths) - top + 1)
+    return per.select("batch", "part", F.transform("p", lambda x: x["place"]).alias("places"), (rising & (rest == F.sort_array(rest, asc=False))).alias("small_ends"))
+
+
 @R.add("t7_balanced_sizes", f"WITH {_PADDED} SELECT idx // 64 AS batch, part, 8 AS rows FROM padded, range(8) AS p(part) GROUP BY 1, 2")
 def t7_balanced_sizes(spark, sf):
     return T.balanced(_batches(spark, sf, 64), 8).groupBy("batch", "part").agg(F.count(F.lit(1)).cast("int").alias("rows"))
@@ -154,7 +190,7 @@ def k2_dense_search(spark, sf):
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
 t AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM d), tf AS (SELECT doc_id, len, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
-s AS (SELECT query_id, doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM tf JOIN df ON df.word = tf.word JOIN q ON q.word = tf.word, t GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df ON df.word = tf.word JOIN q ON q.word = tf.word, t GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 4) + 0.0 AS score FROM r WHERE rank <= 10""",
 )
@@ -182,9 +218,14 @@ def k4_pooling(spark, sf):
     return rows.select("vec_id", F.transform(pooled("v", "m"), lambda x: F.round(x, 6) + 0.0).alias("pooled"))
 
 
-@R.add("k5_retrieve", f"WITH {_NORM} SELECT query_id, 3 AS n, query_id AS first FROM q")
+@R.add(
+    "k5_retrieve",
+    f"""WITH {_NORM}, s AS (SELECT query_id, vec_id, round(list_dot_product(q, v), 9) AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, list(r.vec_id ORDER BY rank) AS docs, list(CAST(e.label AS BIGINT) ORDER BY rank) AS labels FROM r JOIN embeddings e ON e.vec_id = r.vec_id WHERE rank <= 3 GROUP BY query_id""",
+)
 def k5_retrieve(spark, sf):
+    """The passages of each query in rank order."""
     v = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     found = K.dense_search(v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v, 3)
     out = K.retrieve(found, v, "vec_id", "label")
-    return out.select("query_id", F.size("passages").alias("n"), F.col("passages")[0]["vec_id"].alias("first"))
+    return out.select("query_id", F.transform("passages", lambda p: p["vec_id"]).alias("docs"), F.transform("passages", lambda p: p["label"].cast("bigint")).alias("labels"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,41 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import first_text
 
 
+def _path(spark: SparkSession, text: str):
+    """(Hadoop file system, path): what a path means on any storage that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern names, in order; none where nothing matches."""
+    system, path = _path(spark, pattern)
+    found = system.globStatus(path)
+    return sorted(f.getPath().toString() for f in found) if found is not None else []
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, null if there is none."""
+    system, where = _path(spark, path)
+    if not system.exists(where):
+        return None
+    stream = system.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with a text, replaced if it is there."""
+    system, where = _path(spark, path)
+    stream = system.create(where, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
     """Parquet and JSON(L) files as one table, columns matched by name; another ending is an error."""
     out = None
@@ -81,17 +115,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def load_run(spark: SparkSession, folder: str) -> DataFrame:
     """A run's per-problem records, or its sampled question log where there are none; ``sampled`` tells which."""
-    base = Path(folder)
-    whole = sorted(str(p) for p in base.glob("per_problem*.jsonl"))
-    log = sorted(str(p) for p in base.glob("qa_log*.jsonl")) + sorted(str(p) for p in (base / "qa_logs").glob("*.jsonl"))
+    whole = matching(spark, f"{folder}/per_problem*.jsonl")
+    log = matching(spark, f"{folder}/qa_log*.jsonl") + matching(spark, f"{folder}/qa_logs/*.jsonl")
     if not whole and not log:
         raise FileNotFoundError(f"no records in {folder}")
     return read_json_lines(spark, whole or log).withColumn("sampled", F.lit(not whole))
 
 
-def datasets_in(folder: str, suffix: str = "_manifest.jsonl") -> list[str]:
+def datasets_in(spark: SparkSession, folder: str, suffix: str = "_manifest.jsonl") -> list[str]:
     """The datasets that have a manifest in a folder."""
-    return sorted(p.name[: -len(suffix)] for p in Path(folder).glob(f"*{suffix}"))
+    return [p.rsplit("/", 1)[-1][: -len(suffix)] for p in matching(spark, f"{folder}/*{suffix}")]
 
 
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,17 +250,16 @@ def copy_to_shared(spark: SparkSession, path: str, folder: str) -> str:
     return target.toString()
 
 
-def metric_sink(kind: str, path: str | None = None) -> Callable[[dict, int], None]:
-    """A function (metrics, step) that prints a line or appends one to a JSON lines file; other back ends are not ours."""
+def metric_sink(kind: str, path: str | None = None, spark: SparkSession | None = None) -> Callable[[dict, int], None]:
+    """A function (metrics, step) that prints a line or writes one to a folder of JSON lines; other back ends are not ours.
+
+    The folder holds a file a step, on any storage, so that a step written again replaces
+    its line; ``read_json_lines`` reads them all.
+    """
     if kind == "console":
         return lambda metrics, step: print(f"step:{step} - " + " - ".join(f"{k}:{v}" for k, v in metrics.items()))
     if kind == "file":
-
-        def append(metrics: dict, step: int) -> None:
-            with open(path, "a", encoding="utf-8") as f:
-                f.write(json.dumps({"step": step, "data": metrics}, ensure_ascii=False) + "\n")
-
-        return append
+        return lambda metrics, step: write_note(spark, f"{path}/{step:012d}.jsonl", json.dumps({"step": step, "data": metrics}, ensure_ascii=False) + "\n")
     raise ValueError(f"unknown metric sink {kind!r}")
 
 
@@ -236,10 +268,31 @@ def with_generated(rows: DataFrame, generate: Callable[[DataFrame], DataFrame],
     return rows.unionByName(generate(batch), allowMissingColumns=True)
 
 
-def latest_checkpoint(folder: str, stem: str = "global_step_") -> str | None:
+_TRACKER = "latest_checkpointed_iteration.txt"
+
+
+def latest_checkpoint(spark: SparkSession, folder: str, stem: str = "global_step_") -> str | None:
     """The checkpoint directory that the tracker file names, null without one."""
-    tracker = Path(folder) / "latest_checkpointed_iteration.txt"
-    if not tracker.exists():
-        return None
-    path = Path(folder) / f"{stem}{tracker.read_text().strip()}"
-    return str(path) if path.exists() else None
+    step = read_note(spark, f"{folder}/{_TRACKER}")
+    found = matching(spark, f"{folder}/{stem}{step.strip()}") if step else []
+    return found[0] if found else None
+
+
+def save_loader(spark: SparkSession, folder: str, step: int, state: dict, stem: str = "global_step_") -> str:
+    """A loader's state (epoch, position, seed) beside the checkpoint of a step; the tracker file comes last."""
+    path = f"{folder}/{stem}{step}/data.json"
+    write_note(spark, path, json.dumps(state))
+    write_note(spark, f"{folder}/{_TRACKER}", str(step))
+    return path
+
+
+def load_loader(spark: SparkSession, folder: str) -> dict:
+    """The state of the latest checkpoint; the start of the first epoch without one."""
+    last = latest_checkpoint(spark, folder)
+    text = read_note(spark, f"{last}/data.json") if last else None
+    return json.loads(text) if text else {"epoch": 0, "position": 0, "seed": 0}
+
+
+def remaining(ordered: DataFrame, state: dict, place: str = "place") -> DataFrame:
+    """The rows that a loader has still to give out in its epoch, by their place in its order."""
+    return ordered.filter(F.col(place) >= state["position"])

@@ -509,12 +509,17 @@ def test_sinks_round_trip(spark, tmp_path):
     assert len(made) == 1
     (tmp_path / "f").write_text("x")
     assert io.copy_to_shared(spark, str(tmp_path / "f"), str(tmp_path / "d")) == io.copy_to_shared(spark, str(tmp_path / "f"), str(tmp_path / "d"))
-    sink = io.metric_sink("file", str(tmp_path / "m.jsonl"))
+    sink = io.metric_sink("file", str(tmp_path / "m"), spark)
     sink({"a": 1}, 2)
-    assert json.loads((tmp_path / "m.jsonl").read_text()) == {"step": 2, "data": {"a": 1}}
+    sink({"a": 2}, 3)
+    sink({"a": 3}, 3)
+    assert rows(io.read_json_lines(spark, str(tmp_path / "m"), "step bigint, data struct<a: bigint>").select("step", "data.a"), "step") == [(2, 1), (3, 3)]
+    assert io.load_loader(spark, str(tmp_path / "none")) == {"epoch": 0, "position": 0, "seed": 0}
+    io.save_loader(spark, str(tmp_path / "l"), 4, {"epoch": 2, "position": 9, "seed": 1})
+    assert io.load_loader(spark, str(tmp_path / "l"))["position"] == 9
     (tmp_path / "latest_checkpointed_iteration.txt").write_text("7")
     (tmp_path / "global_step_7").mkdir()
-    assert io.latest_checkpoint(str(tmp_path)).endswith("global_step_7")
+    assert io.latest_checkpoint(spark, str(tmp_path)).endswith("global_step_7")
     with pytest.raises(ValueError):
         io.read_files(spark, ["x.csv"])
 
@@ -563,7 +568,7 @@ def test_run_records_before_log(spark, tmp_path):
     (tmp_path / "per_problem_a.jsonl").write_text('{"problem_id": "a"}\n{"problem_id": "b"}\n')
     assert io.load_run(spark, str(tmp_path)).count() == 2
     (tmp_path / "x_manifest.jsonl").write_text("{}")
-    assert io.datasets_in(str(tmp_path)) == ["x"]
+    assert io.datasets_in(spark, str(tmp_path)) == ["x"]
 
 
 # ---------------------------------------------------------------- streaming
