@@ -5,12 +5,16 @@ from __future__ import annotations
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds of checkpointed work after which shuffle files that nothing needs are given up.
+GC_SECONDS = 0.5
+_uncollected = 0.0
 _PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -58,14 +62,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, lineage cut.
 
-    The shuffle files of the plan that led here are no longer needed; a collection of the
-    driver's garbage lets Spark's cleaner delete them at once, not at its next round.
+    The shuffle files of the plan that led here are no longer needed; after ``GC_SECONDS``
+    of such work a collection of the driver's garbage lets Spark's cleaner delete them at
+    once, not at its next round.
     """
+    global _uncollected
     ensure_checkpoint_dir(df.sparkSession)
+    began = time.monotonic()
     kept = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    kept.sparkSession._jvm.System.gc()
+    _uncollected += time.monotonic() - began
+    if _uncollected >= GC_SECONDS:
+        _uncollected = 0.0
+        gc.collect()
+        kept.sparkSession._jvm.System.gc()
     return kept
 
 

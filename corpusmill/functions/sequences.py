@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +48,18 @@ def without_pad(ids, value) -> Column:
 
 
 def position_ids(mask) -> Column:
-    """max(running sum of the mask - 1, 0) at each place; a running sum in numpy, linear in the tokens."""
-
-    @F.pandas_udf("array<int>")
-    def run(m: pd.Series) -> pd.Series:
-        return m.map(lambda a: None if a is None else np.maximum(np.cumsum(a) - 1, 0).astype(np.int32))
-
-    return run(_c(mask))
+    """max(running sum of the mask - 1, 0) at each place, null for null; one running sum over all rows of a batch."""
+
+    @F.arrow_udf("array<int>")
+    def run(m: pa.Array) -> pa.Array:
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(m), 0).to_numpy(zero_copy_only=False), np.int64)
+        total = np.concatenate(([0], np.cumsum(np.asarray(m.flatten().to_numpy(zero_copy_only=False), np.int64))))
+        ends = np.cumsum(lengths)
+        own = total[1:] - np.repeat(total[ends - lengths], lengths)
+        offsets = np.concatenate(([0], ends)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.maximum(own - 1, 0).astype(np.int32)), mask=m.is_null())
+
+    return run(_c(mask).cast("array<int>"))
 
 
 def response_mask(attention, length: int) -> Column:

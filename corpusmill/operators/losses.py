@@ -208,10 +208,14 @@ def exploded(df: DataFrame, arrays: list[str], mask: str, keep: list[str]) -> Da
     return df.select(*keep, F.posexplode(z).alias("t", "p")).filter(F.col("p")[mask] > 0).select(*keep, "t", *[F.col("p")[a].cast("double").alias(a) for a in arrays])
 
 
-def _covariance(df, old, new, adv, mask, seq) -> DataFrame:
+def _covariance(df, old, new, adv, mask, seq) -> tuple[DataFrame, int]:
+    """The kept tokens with their part of the covariance, and their number.
+
+    Means and number come from one pass over the arrays and are constants of the plan.
+    """
     long = exploded(df, [old, new, adv], mask, [seq])
-    means = F.broadcast(long.agg(F.avg(adv).alias("__ma"), F.avg(new).alias("__mn"), F.count(F.lit(1)).alias("__n")))  # a one-row table
-    return long.join(means).withColumn("cov", (F.col(adv) - F.col("__ma")) * (F.col(new) - F.col("__mn")))
+    m = long.agg(F.avg(adv).alias("a"), F.avg(new).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return long.withColumn("cov", (F.col(adv) - F.lit(m["a"])) * (F.col(new) - F.lit(m["b"]))), m["n"]
 
 
 def _top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -226,8 +230,7 @@ def kl_cov(df: DataFrame, old="old_logp", new="logp", adv="advantages", mask="ma
     The share ``ratio_of`` of the kept tokens (one at least) is chosen, ties by sequence
     and place.
     """
-    long = _covariance(df, old, new, adv, mask, seq)
-    n = long.count()
+    long, n = _covariance(df, old, new, adv, mask, seq)
     k = max(1, int(n * ratio_of)) if n else 0
     chosen = _top(long.select(seq, "t", "cov"), k, [F.col("cov").desc(), F.col(seq), F.col("t")]).select(seq, "t").withColumn("__hit", F.lit(1))
     kl = F.col(new) - F.col(old)
@@ -244,11 +247,10 @@ def clip_cov(df: DataFrame, old="old_logp", new="logp", adv="advantages", mask="
     the share ``ratio_of`` of all kept tokens is taken by a seeded hash, so the choice is
     the same in every run.
     """
-    long = _covariance(df, old, new, adv, mask, seq)
+    long, n = _covariance(df, old, new, adv, mask, seq)
     ratio = F.exp(F.col(new) - F.col(old))
     free, clipped = -F.col(adv) * ratio, -F.col(adv) * clamp(ratio, 1 - low, 1 + high)
     band = long.withColumns({"__free": free, "__clipped": clipped}).filter(~(F.col("__clipped") > F.col("__free"))).filter((F.col("cov") > cov_low) & (F.col("cov") < cov_high))
-    n = long.count()
     k = max(1, int(n * ratio_of))
     chosen = _top(band.select(seq, "t"), k, [F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(seq).cast("string"), F.col("t").cast("string")), 256), F.col(seq), F.col("t")]).withColumn("__hit", F.lit(1))
     loss = F.when(F.col("__hit") == 1, F.lit(0.0)).otherwise(F.greatest(free, clipped))

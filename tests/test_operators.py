@@ -102,7 +102,7 @@ def test_aggregation_skips_masked_values(spark):
         value("other")
 
 
-def test_registry_of_losses():
+def test_registry_of_losses(spark):
     assert {"vanilla", "gspo", "sapo", "gpg", "clip_cov", "kl_cov", "geo_mean", "cispo", "reinforce"} <= set(losses.LOSSES)
     with pytest.raises(ValueError):
         losses.policy_loss("none")
@@ -603,3 +603,11 @@ def test_event_windows_with_watermark(spark, small, tmp_path):
     job = Q.event_windows(stream, "6 hours", "1 hour").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     job.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_positions_of_odd_masks(spark):
+    masks = [[0, 1, 1], None, [], [1], [0, 0]]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(masks * 40)], "i bigint, m array<bigint>").repartition(3)
+    got = {r["i"]: r["p"] for r in df.select("i", sequences.position_ids("m").alias("p")).collect()}
+    want = [[0, 0, 1], None, [], [0], [0, 0]] * 40
+    assert [got[i] for i in range(len(want))] == want
