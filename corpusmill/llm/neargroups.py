@@ -109,7 +109,7 @@ def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
         if len(held[0]) > 1:
             yield _partial_overlaps(*held, threshold)
 
-    fragment = (F.floor(F.col("rank") / 16).cast("int") * F.lit(1 << FRAGMENT_BITS)) + F.shiftrightunsigned("token", TOKEN_BITS - FRAGMENT_BITS).cast("int")
+    fragment = (F.floor(F.col("rank") / 8).cast("int") * F.lit(1 << FRAGMENT_BITS)) + F.shiftrightunsigned("token", TOKEN_BITS - FRAGMENT_BITS).cast("int")
     placed = postings.withColumn("fragment", fragment).repartition("fragment").sortWithinPartitions("fragment", "token")
     parts = placed.select("token", "cls", "size", "pos", "hots").mapInArrow(run, "x bigint, y bigint, xs int, ys int, rest int, part int, first boolean")
     summed = parts.groupBy("x", "y", "xs", "ys", "rest").agg(F.sum("part").alias("both"), F.max("first").alias("first"))

@@ -63,7 +63,7 @@ def _cells(shared) -> np.ndarray:
 
 
 class FrequencySketch:
-    """Broadcast counts of shingle hashes on a logarithmic one-byte scale (16 steps an octave).
+    """Broadcast counts of shingle hashes on a logarithmic one-byte scale (8 steps an octave, up to 4e9).
 
     The table travels packed, since most of its cells hold 0 or a small rank.
     """
@@ -125,7 +125,7 @@ def frequency_sketch(docs: DataFrame, n: int, min_words: int, bits: int) -> Freq
                 acc = sums.setdefault(s, np.zeros(width, np.int64))
                 acc[np.cumsum(unpack(steps))] += unpack(seen)
         for s, acc in sums.items():
-            scale = np.where(acc > 1, np.minimum(255, 1 + np.floor(16 * np.log2(np.maximum(acc, 2)) - 16)), 0)
+            scale = np.where(acc > 1, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(acc, 2)) - 8)), 0)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([scale.astype(np.uint8).tobytes()], pa.binary())], ["slice", "cells"])
 
     parts = docs.select("salt", "text").mapInArrow(count, "slice int, steps binary, seen binary")
@@ -138,7 +138,7 @@ def frequency_sketch(docs: DataFrame, n: int, min_words: int, bits: int) -> Freq
 
 def rank_of_count(count: int) -> int:
     """The sketch's rank of a shingle that occurs so often."""
-    return 0 if count < 2 else int(min(255, 1 + math.floor(16 * math.log2(count) - 16)))
+    return 0 if count < 2 else int(min(255, 1 + math.floor(8 * math.log2(count) - 8)))
 
 
 def _classes(per: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def token_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int,
             tok, rank = tok[rank > 0], rank[rank > 0]
             if not len(tok):
                 continue
-            cell = row * fragments + np.minimum(fragments - 1, rank.astype(np.int64) * fragments // 128)
+            cell = row * fragments + np.minimum(fragments - 1, rank.astype(np.int64) * fragments // 64)
             order = np.lexsort((tok, cell))
             cells, at = np.unique(cell[order], return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(tok)).astype(np.int32)), pa.array(tok[order]))

@@ -321,6 +321,36 @@ def test_packing_fills_and_keeps_items(spark):
     assert packing.pack(df.select("doc_id", "n_tokens").filter("doc_id < 0"), 2048).count() == 0
 
 
+def fewest(sizes, capacity):
+    """The fewest containers, by trying every container for every item, largest first."""
+    sizes = sorted(sizes, reverse=True)
+    best = [len(sizes)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            put(i + 1, [*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_containers_are_near_the_fewest():
+    rng = random.Random(21)
+    extra = 0
+    for _ in range(60):
+        sizes = [rng.randrange(1, 60) for _ in range(11)]
+        used = sum(count for count, _ in packing.pack_patterns(dict(Counter(sizes)), 64))
+        extra += used - fewest(sizes, 64)
+        assert used <= fewest(sizes, 64) + 1
+    assert extra <= 12
+
+
 def test_patterns_hold_the_histogram():
     rng = random.Random(1)
     h = {n: rng.randrange(1, 50) for n in rng.sample(range(1, 129), 60)}
