@@ -52,11 +52,11 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
     rows = N.cut(N.prefixes(docs, sketch, shingle, min_words, threshold))
     members = N.cut(rows.select("id", "salt", "cls"))
     hot_rank = N.rank_of_count(hot + 1)
+    crowded = N.postings(rows.filter(F.exists("ranks", lambda r: r >= hot_rank))).filter(F.col("rank") >= hot_rank).select("token", "cls", "size", "pos")
+    crowded = N.cut(crowded.withColumn("bucket", F.floor(F.log("size") / F.lit(math.log(1 / threshold))).cast("int")))
     # hot shingles come last in every prefix; how many there are goes into the rest of the text
     held = rows.withColumn("hots", F.size(F.filter("ranks", lambda r: r >= hot_rank)))
     candidates = N.cut(_candidates(N.postings(held, "hots").filter(F.col("rank") < hot_rank), threshold))
-    crowded = N.postings(rows).filter(F.col("rank") >= hot_rank).select("token", "cls", "size", "pos")
-    crowded = _useful(N.cut(crowded.withColumn("bucket", F.floor(F.log("size") / F.lit(math.log(1 / threshold))).cast("int"))), threshold)
     del rows, held
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -67,6 +67,7 @@ def near_groups(records: DataFrame, id_col: str, text_cols: list[str], threshold
     near = verified(candidates)
     del candidates
     if not crowded.isEmpty():
+        crowded = _useful(crowded, threshold)
         near = near.unionByName(verified(N.cut(_to_heads(crowded, threshold))))
         near = near.unionByName(verified(N.cut(_across(crowded, groups(near), threshold))))
     del crowded
