@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 CELL_BITS = 10
 
 
-def _shifted(placed: DataFrame, by: list[str], order: list, name: str, columns: list[str], across: bool = False) -> DataFrame:
-    """Ranks within (by, __cell) by ``order``, shifted by the counts of the group's lower cells.
+def numbered_cells(placed: DataFrame, by: list[str], order: list, name: str, columns: list[str] | None = None, across: bool = False) -> DataFrame:
+    """``placed`` with ``name``: 0-based ranks within (by, __cell) by ``order``, shifted by the counts of the group's lower cells.
 
     ``across`` shifts by all lower groups too, so that the groups follow one another; the
     window over the counts then has a row a group and cell and no partition.
     """
     before = (Window.orderBy(*by, "__cell") if across else Window.partitionBy(*by).orderBy("__cell")).rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__cell").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__cell").alias("__low"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy(*order)) - 1
-    cond = F.col("__cell") == F.col("__at")
+    cond = F.col("__cell") == F.col("__low")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return placed.withColumn("__k", within).join(starts, cond).withColumn(name, (F.col("__start") + F.col("__k")).cast("bigint")).select(*columns, name)
+    return placed.withColumn("__k", within).join(starts, cond).withColumn(name, (F.col("__start") + F.col("__k")).cast("bigint")).select(*(columns or placed.columns), name)
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "rank", cell_bits: int = CELL_BITS) -> DataFrame:
@@ -38,7 +38,7 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "rank", c
     # a hash independent of the one that places rows in shuffle partitions
     placed = df.withColumn("__hash", F.xxhash64(F.lit(7), *order)).withColumn("__cell", F.shiftrightunsigned("__hash", 64 - cell_bits))
     # within a cell all hashes have one sign, so signed and unsigned order agree
-    return _shifted(placed, by, ["__hash", *order], name, df.columns)
+    return numbered_cells(placed, by, ["__hash", *order], name, df.columns)
 
 
 def _bounds(df: DataFrame, key: str, cells: int) -> list:
@@ -66,4 +66,4 @@ def ranked_in_order(df: DataFrame, key: str, name: str = "rank", by: list[str] |
     """
     by = by or []
     placed = df.withColumn("__cell", range_cell(key, _bounds(df, key, cells)))
-    return _shifted(placed, by, [key, *(ties or [])], name, df.columns, across)
+    return numbered_cells(placed, by, [key, *(ties or [])], name, df.columns, across)

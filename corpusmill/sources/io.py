@@ -98,12 +98,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | None = None, s
 def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, line, parsed record, ok): lines with their 1-based number in each file, blank ones left out.
 
-    A file is read as a whole by one task, since only that knows line numbers; meant for
-    checking delivered files of moderate size.
+    Files are read in blocks: lines are numbered within their block and shifted by the
+    lines of the file's blocks before, so a large file is spread over many tasks.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    body = F.from_json("text", schema)
-    return whole.filter(F.trim("text") != "").select("file", (F.col("line") + 1).alias("line"), body.alias("record"), F.get_json_object("text", "$").isNotNull().alias("ok"))
+    from corpusmill.functions.ranking import numbered_cells
+
+    # lines of a block come in order, which the increasing id keeps
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__cell"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("text"))
+    numbered = numbered_cells(lines, ["file"], ["__at"], "line")
+    return numbered.filter(F.trim("text") != "").select("file", (F.col("line") + 1).cast("int").alias("line"), F.from_json("text", schema).alias("record"), F.get_json_object("text", "$").isNotNull().alias("ok"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

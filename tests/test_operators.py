@@ -611,3 +611,17 @@ def test_positions_of_odd_masks(spark):
     got = {r["i"]: r["p"] for r in df.select("i", sequences.position_ids("m").alias("p")).collect()}
     want = [[0, 0, 1], None, [], [0], [0, 0]] * 40
     assert [got[i] for i in range(len(want))] == want
+
+
+def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
+    text = "\n".join("" if i % 7 == 3 else json.dumps({"i": i}) if i % 5 else "{broken" for i in range(3000)) + "\n"
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text('{"i": 0}\n\n{"i": 2}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        got = [(r["file"][-7:], r["line"], r["record"]["i"] if r["ok"] else None) for r in io.numbered_lines(spark, str(tmp_path), "i int").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [("a.jsonl", i + 1, i if i % 5 else None) for i in range(3000) if i % 7 != 3] + [("b.jsonl", 1, 0), ("b.jsonl", 3, 2)]
+    assert sorted(got, key=str) == sorted(want, key=str)
