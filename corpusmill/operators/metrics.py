@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 EXECUTED = ("success", "wrong_answer")
 EXECUTED_WIDE = ("success", "wrong_answer", "runtime_error")
 ERRORS = ("syntax_error", "runtime_error", "timeout", "wrong_answer", "api_error", "unknown")
+#: The bootstrap takes so many draws of a group or of groups at once.
+_PICKED = 1 << 16
 
 
 def reduce_metrics(long: DataFrame, name="name", value="value") -> DataFrame:
@@ -78,23 +83,81 @@ def variance_proxies(rows: DataFrame, gradient_norm: float | None = None) -> Dat
     return base.select(F.lit(signal).alias("proxy1_signal_strength"), "proxy2_total_power", noise.alias("proxy3_pure_noise"), "expected_a_squared", "expected_w")
 
 
+@lru_cache(maxsize=128)
+def _kept_picks(n: int, size: int, draws: int, seed: int) -> np.ndarray:
+    return np.ascontiguousarray(np.random.RandomState(seed).choice(n, (draws, size), replace=True).T)
+
+
+def _picks(n: int, size: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+    """Places drawn out of ``n`` with numpy's generator, a column a draw: kept where they are few, else in blocks of draws.
+
+    One call for many draws goes through the same numbers as a call a draw.
+    """
+    if draws * size <= _PICKED:
+        yield _kept_picks(n, size, draws, seed)
+        return
+    rng, step = np.random.RandomState(seed), max(1, _PICKED // size)
+    for k in range(0, draws, step):
+        yield rng.choice(n, (min(step, draws - k), size), replace=True).T
+
+
+def _drawn_extremes(values: np.ndarray, edges: np.ndarray, sizes: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Rows (best mean, best std, worst mean, worst std) of the groups between ``edges``; groups of one length and size share their draws."""
+    lengths = np.diff(edges)
+    out = np.empty((4, len(lengths)))
+    for n, size in set(zip(lengths.tolist(), sizes.tolist())):
+        same = np.flatnonzero((lengths == n) & (sizes == size))
+        step = max(1, _PICKED // (draws * size))
+        for k in range(0, len(same), step):
+            at = same[k : k + step]
+            drawn = (values.take(edges[at][:, None, None] + p) for p in _picks(n, size, draws, seed))
+            ends = [(d.max(axis=1), d.min(axis=1)) for d in drawn]
+            best, worst = (np.concatenate(e, axis=1) for e in zip(*ends))
+            out[:, at] = best.mean(axis=1), best.std(axis=1), worst.mean(axis=1), worst.std(axis=1)
+    return out
+
+
 def bootstrap(rows: DataFrame, keys: list[str], value="score", order="idx", size="n", draws: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, best_mean, best_std, worst_mean, worst_std): seeded bootstrap of the best and worst of ``size`` draws.
 
-    One group is the responses of one prompt, so a task holds one prompt's scores; the
-    draws follow numpy's generator with the given seed, one generator a group.
+    One group is the responses of one prompt; the draws follow numpy's generator with the
+    given seed, one generator a group.  They depend on the group's length and size only, so
+    a task makes them once for all groups that agree in both.  Groups come sorted, batch by
+    batch; a task holds a batch and the values of the group that is not yet whole.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf.sort_values(order)[value].to_numpy()
-        rng = np.random.RandomState(seed)
-        picks = np.stack([rng.choice(len(data), int(pdf[size].iloc[0]), replace=True) for _ in range(draws)])
-        best, worst = data[picks].max(axis=1), data[picks].min(axis=1)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "best_mean": [best.mean()], "best_std": [best.std()], "worst_mean": [worst.mean()], "worst_std": [worst.std()]})
+    def run(batches):
+        # values since the start of the last group, and the row that starts it
+        held, head = [], None
+        for batch in batches:
+            place = batch.column("__i").to_numpy()
+            fresh = batch.column("__v").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(place == 1)
+            if not len(starts):
+                held.append(fresh)
+                continue
+            values = np.concatenate([*held, fresh])
+            edges = starts + len(values) - len(fresh)
+            heads = batch.take(pa.array(starts))
+            if head is not None:
+                edges = np.concatenate(([0], edges))
+                heads = pa.concat_batches([head, heads])
+            if len(edges) > 1:
+                yield done(heads.slice(0, len(edges) - 1), values, edges)
+            held, head = [values[edges[-1] :].copy()], heads.slice(len(edges) - 1)
+        if head is not None:
+            values = np.concatenate(held)
+            yield done(head, values, np.array([0, len(values)]))
+
+    def done(heads, values, edges):
+        found = _drawn_extremes(values, edges, heads.column("__s").to_numpy(), draws, seed)
+        return pa.RecordBatch.from_arrays([*(heads.column(k) for k in keys), *(pa.array(c) for c in found)], [*keys, "best_mean", "best_std", "worst_mean", "worst_std"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", best_mean double, best_std double, worst_mean double, worst_std double"
-    return rows.select(*keys, value, order, size).groupBy(*keys).applyInPandas(run, schema)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), F.col(value).asc_nulls_last()))
+    placed = rows.select(*keys, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("__v"), F.col(size).cast("bigint").alias("__s"), place.alias("__i"))
+    return placed.mapInArrow(run, schema)
 
 
 def expected_extremes(rows: DataFrame, keys: list[str], n: int | Column, value="score", order="idx") -> DataFrame:

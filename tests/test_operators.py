@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -133,6 +134,25 @@ def test_bootstrap_approaches_the_exact_value(spark):
     assert est["best_mean"] == pytest.approx(exact["best"], abs=0.1) and est["worst_mean"] == pytest.approx(exact["worst"], abs=0.1)
 
 
+def test_bootstrap_of_many_groups(spark):
+    # a generator call a draw, group by group, misses the limit below
+    groups = spark.range(4000).select("id", F.explode(F.sequence(F.lit(1), 1 + F.col("id") % 23)).alias("idx"))
+    df = groups.select(F.when(F.col("id") > 0, F.col("id")).alias("uid"), "idx", (F.xxhash64("id", "idx") % 1000 / 7).alias("score"), F.when(F.col("id") % 2 == 0, 4).otherwise(3).alias("n"))
+    df = df.withColumn("score", F.when((F.col("uid") != 25) | (F.col("idx") != 2), F.col("score")))
+    # one group of several batches, and draws that come in several blocks
+    df = df.unionByName(spark.range(25000).select(F.lit(-1).alias("uid"), F.col("id").alias("idx"), (F.xxhash64("id") % 100000 / 7).alias("score"), F.lit(150).alias("n")))
+    began = time.perf_counter()
+    got = {r["uid"]: tuple(r)[1:] for r in metrics.bootstrap(df, ["uid"]).collect()}
+    assert time.perf_counter() - began < 20 and len(got) == 4001
+    for uid in (None, -1, 1, 22, 23, 25, 3999):
+        data = df.filter(F.col("uid").eqNullSafe(F.lit(uid).cast("bigint"))).orderBy("idx").toPandas()
+        score, rng = data["score"].to_numpy(), np.random.RandomState(42)
+        picks = np.stack([rng.choice(len(score), int(data["n"][0]), replace=True) for _ in range(1000)])
+        best, worst = score[picks].max(axis=1), score[picks].min(axis=1)
+        np.testing.assert_array_equal(got[uid], (best.mean(), best.std(), worst.mean(), worst.std()))
+        assert np.isnan(got[uid]).any() == (uid == 25)
+
+
 def test_batch_metrics_of_two(spark):
     one = [[1, 1], [1, 1]]
     df = spark.createDataFrame([(3.0, 1.5, [0.1, 0.2], [1.1, 1.2], [0.9, 1.0], one[0], 2), (7.0, 3.5, [0.3, 0.4], [1.3, 1.4], [1.1, 1.2], one[1], 2)], "score double, reward double, advantages array<double>, returns array<double>, values array<double>, mask array<int>, prompt_length bigint")
