@@ -2,8 +2,8 @@
 
 Copy, language and termination are judged on each pair alone.  Refusals are not: they are
 opening sentences that recur across unrelated prompts without a solution.  The opening
-sentences of responses without code are therefore clustered (MinHash candidates, verified
-by Jaccard).  A cluster is a refusal template if it recurs over enough prompts that are no
+sentences of responses without code are therefore clustered (MinHash candidates, then all
+pairs of different components that filters leave, verified by Jaccard).  A cluster is a refusal template if it recurs over enough prompts that are no
 copies of one another, if responses that open in the same words hardly ever hold code, and
 if what follows the opening is nothing or recurs as well.  Openings too rare to judge by
 recurrence need wording that declines.
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.runtime import cut
-from corpusmill.functions.skew import join_unique
+from corpusmill.functions.skew import hottest, join_unique
 from corpusmill.llm.graph import groups
 from corpusmill.llm.languages import LanguageModel
+from corpusmill.llm.neargroups import needed
 
 # General wording that declines a request, for openings too rare to recur.
 _DECLINES = re.compile(
@@ -54,6 +55,8 @@ _KNOWN = set(dir(builtins)) | set(keyword.kwlist)
 OPENING_WORDS = 4
 #: So many sentences of a response count as its opening: a polite one may stand first.
 OPENINGS = 3
+#: How often components of openings are compared by one sentence of each, before all of their pairs are.
+HEAD_ROUNDS = 2
 _SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+|[^.!?。！？\n]+\Z")
 
 
@@ -295,13 +298,15 @@ def judge_rows(prompts: list, responses: list) -> Judged:
 
 
 def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int = 16, rows_a_band: int = 2) -> DataFrame:
-    """(h, cluster): opening sentences linked by verified MinHash candidates; unlinked ones are left out.
-
-    ``openings`` holds one row a sentence (h, sentence) with a 64-bit hash as id.  Bands
-    only propose pairs: the sentences of a band bucket are compared to two of its members,
-    the smallest and the largest hash (found by aggregates, so a bucket of any size costs
-    two comparisons a sentence), in each of ``bands`` buckets; links then spread through
-    components.  Every kept link has a Jaccard similarity of at least ``similarity``.
+    """(h, cluster): opening sentences linked to others, with the smallest hash of their cluster; unlinked ones are left out.
+
+    ``openings`` holds one row a sentence (h, sentence) with a 64-bit hash as id.  A cluster
+    is a component of the links between all sentences whose Jaccard similarity is at least
+    ``similarity``.  MinHash finds most of each at little cost: the sentences of a band
+    bucket are compared to two of its members, the smallest and the largest hash (found by
+    aggregates, so a bucket of any size costs two comparisons a sentence), in each of
+    ``bands`` buckets.  What this misses is then looked for between the components, by
+    filters that leave no near pair out (see ``_links_between``).
     """
     seeds = np.random.default_rng(5).integers(1, 1 << 62, bands * rows_a_band)
 
@@ -316,16 +321,106 @@ def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int =
                 buckets = mins.reshape(bands, rows_a_band).sum(axis=1) * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
                 hs.append(h)
                 keys.append(buckets.astype(np.int64).tolist())
-                gs.append((codes >> np.uint64(32)).astype(np.int64).tolist())
+                gs.append(codes.astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(gs, pa.list_(pa.int64()))], ["h", "buckets", "grams"])
 
     signed = cut(openings.select("h", "sentence").mapInArrow(sign, "h bigint, buckets array<bigint>, grams array<bigint>"))
+    sets = _shared_grams(signed)
     placed = signed.select("h", F.explode("buckets").alias("bucket"))
     ends = placed.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high")
-    met = join_unique(placed, ends, "bucket").select("h", F.explode(F.array("low", "high")).alias("head")).filter("h <> head").select(F.least("h", "head").alias("h"), F.greatest("h", "head").alias("head")).distinct()
-    grams = signed.select(F.col("h").alias("head"), F.col("grams").alias("other"))
-    near = join_unique(cut(met.join(signed.select("h", "grams"), "h")), grams, "head").filter(F.size(F.array_intersect("grams", "other")) >= F.lit(similarity) * F.size(F.array_union("grams", "other"))).select("h", "head")
-    return groups(near).select(F.col("node").alias("h"), F.col("root").alias("cluster"))
+    met = join_unique(placed, ends, "bucket").select("h", F.explode(F.array("low", "high")).alias("head")).filter("h <> head").select(F.least("h", "head").alias("x"), F.greatest("h", "head").alias("y")).distinct()
+    found = cut(groups(_similar(met, sets, similarity)))
+    between = _links_between(sets, found, similarity)
+    if between is not None:
+        found = groups(found.unionByName(between.toDF("node", "root")))
+    return found.select(F.col("node").alias("h"), F.col("root").alias("cluster"))
+
+
+def _shared_grams(signed: DataFrame) -> DataFrame:
+    """(h, size, tokens): the grams that a sentence shares with any other, rare ones first; ``size`` counts all of its grams."""
+    each = signed.select("h", F.size("grams").alias("size"), F.explode("grams").alias("token"))
+    counts = cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = join_unique(each, counts, "token", hot=hottest(counts, "token", "n"))
+    return cut(shared.groupBy("h", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda p: p["token"]).alias("tokens")))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (x, y and others) whose sentences reach the similarity."""
+    end = lambda c: sets.select(F.col("h").alias(c), F.col("size").alias(f"{c}s"), F.col("tokens").alias(f"{c}t"))
+    met = join_unique(cut(join_unique(cut(pairs), end("x"), "x")), end("y"), "y").withColumn("both", F.size(F.array_intersect("xt", "yt")))
+    return cut(met.filter(F.col("both") >= F.lit(similarity) * (F.col("xs") + F.col("ys") - F.col("both")) - 1e-9).select(pairs.columns))
+
+
+def _links_between(sets: DataFrame, components: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b): components, named by their smallest hash, that near sentences link; none if none are near.
+
+    Every near pair of sentences in different components is found, or its components are
+    linked by others.  Near sentences share a gram of their prefixes (the first
+    ``size - ceil(similarity * size) + 1`` grams, rare ones first), so components come into
+    question by such grams, and stay if the grams of all their sentences have so many in
+    common as their shortest sentences need.  Of m common grams of which k are needed, near
+    sentences share one of the rarest m - k + 1; of the sentences with one of these, those
+    stay that have enough in common with all grams of the other side.  They are compared
+    with one sentence of the other side, which links most components that can be linked;
+    between all others every pair with one of the rarest common grams is compared.
+    """
+    own = cut(sets.join(components.select(F.col("node").alias("h"), F.col("root").alias("comp")), "h", "left").withColumn("comp", F.coalesce("comp", "h")))
+    alone = F.col("size") - F.size("tokens")  # grams of no other sentence, which come first
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int") + 1
+    leading = own.select("h", "comp", "size", alone.alias("alone"), F.posexplode(F.slice("tokens", 1, F.greatest(prefix - alone, F.lit(0)))).alias("at", "token")).select("token", "h", "comp", "size", (F.col("at") + F.col("alone")).alias("pos"))
+    each = own.select("h", "comp", "size", F.explode("tokens").alias("token"))
+    grams = cut(each.groupBy("comp", "token").agg(F.count(F.lit(1)).alias("n")))
+    widths = cut(grams.groupBy("comp").agg(F.count(F.lit(1)).alias("width")).join(own.groupBy("comp").agg(F.min("size").alias("low"), F.max("size").alias("high")), "comp"))
+    kinds = leading.groupBy("token", "comp").agg(F.max(F.col("size") - F.col("pos")).alias("reach"))
+    kinds = cut(kinds.join(widths, "comp").select("token", "reach", F.struct("width", "comp", "low", "high").alias("c")))
+
+    # the grams of the component that has fewer are looked up in the other's
+    p, q, t = kinds.alias("p"), kinds.alias("q"), F.lit(similarity)
+    fit = (F.col("p.token") == F.col("q.token")) & (F.col("p.c") < F.col("q.c")) & (F.col("p.c.high") >= t * F.col("q.c.low") - 1e-9) & (F.col("q.c.high") >= t * F.col("p.c.low") - 1e-9)
+    need = needed(F.col("comp.low"), F.col("other.low"), similarity)
+    two = p.join(q, fit).select(F.col("p.c").alias("comp"), F.col("q.c").alias("other"), F.least("p.reach", "q.reach").alias("reach"))
+    two = two.groupBy("comp", "other").agg(F.count(F.lit(1)).alias("part"), F.max("reach").alias("reach"))
+    # a common gram beyond the prefixes lies beyond that of the set whose prefix ends first
+    beyond = F.ceil(t * F.greatest("comp.high", "other.high") - 1e-9) - 1
+    two = two.filter((F.col("reach") >= need) & (F.col("part") + beyond >= need))
+    two = two.select(F.col("comp.comp").alias("comp"), F.col("comp.low").alias("low"), F.col("other.comp").alias("other"), F.col("other.low").alias("other_low"))
+    theirs = grams.select(F.col("comp").alias("other"), "token", F.col("n").alias("m"))
+    need = needed(F.col("low"), F.col("other_low"), similarity).cast("int")
+    common = two.join(grams, "comp").join(theirs, ["other", "token"]).groupBy(two.columns).agg(F.array_sort(F.collect_list(F.struct((F.col("n") + F.col("m")).alias("n"), "token"))).alias("common"))
+    touching = cut(common.filter(F.size("common") >= need).withColumn("common", F.transform(F.slice("common", 1, F.size("common") - need + 1), lambda c: c["token"])))
+
+    sides = touching.select("comp", "other", F.col("other_low").alias("low"), "common").unionByName(touching.select(F.col("other").alias("comp"), F.col("comp").alias("other"), "low", "common"))
+    keys = cut(sides.select("comp", "other", "low", F.explode("common").alias("token")))
+    held = cut(each.join(keys, ["comp", "token"]).select("h", "comp", "other", "size", "low").distinct())
+    reach = held.join(sets.select("h", F.explode("tokens").alias("token")), "h").join(theirs, ["other", "token"])
+    reach = reach.groupBy(held.columns).agg(F.count(F.lit(1)).alias("both"))
+    open_ = cut(reach.filter(F.col("both") >= needed(F.col("size"), F.col("low"), similarity)).select("h", "comp", "other"))
+
+    links = None
+
+    def linked(pairs: DataFrame) -> bool:
+        nonlocal links
+        near = cut(_similar(pairs, sets, similarity).select("a", "b").distinct())
+        some = not near.isEmpty()
+        if some:
+            links = near if links is None else cut(links.unionByName(near))
+        return some
+
+    for k in range(HEAD_ROUNDS):
+        if open_.isEmpty():
+            return links
+        heads = open_.groupBy(F.col("comp").alias("other"), F.col("other").alias("comp")).agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("o"), "h"))["h"].alias("head"))
+        if not linked(open_.join(heads, ["comp", "other"]).select(F.least("h", "head").alias("x"), F.greatest("h", "head").alias("y"), F.col("comp").alias("a"), F.col("other").alias("b")).distinct()):
+            break
+        label = groups(links)
+        of = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
+        open_ = cut(open_.join(of("comp"), "comp", "left").join(of("other"), "other", "left").filter(F.coalesce("comp_root", "comp") != F.coalesce("other_root", "other")).select("h", "comp", "other"))
+    rest = cut(each.join(open_, ["h", "comp"]).join(keys.drop("low"), ["comp", "other", "token"]))
+    p, q = rest.alias("p"), rest.alias("q")
+    same = (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") == F.col("q.other")) & (F.col("p.other") == F.col("q.comp")) & (F.col("p.comp") < F.col("q.comp"))
+    same &= F.least("p.size", "q.size") >= t * F.greatest("p.size", "q.size") - 1e-9
+    linked(p.join(q, same).select(F.col("p.h").alias("x"), F.col("q.h").alias("y"), F.col("p.comp").alias("a"), F.col("q.comp").alias("b")).distinct())
+    return links
 
 
 def defective_pairs(

@@ -579,6 +579,29 @@ def test_answers_with_one_opening_are_no_refusals(spark):
     assert judged(spark, rows) == {50: "refusal"} | {60 + i: "refusal" for i in range(6)}
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_clusters_against_brute_force(spark, monkeypatch, rounds):
+    # sentences that are just near enough, which share few buckets and no head
+    monkeypatch.setattr(defects, "HEAD_ROUNDS", rounds)
+    rng = random.Random(23)
+    vocabulary = [a + b for a in "abcdefghij" for b in "klmnopqrstuvwxy"]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(8, 16))] for _ in range(60)]
+    texts = {"one two three", "one two", "?", "w x y z", "alone in the dark"}
+    while len(texts) < 600:
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.add(" ".join(w))
+    texts = sorted(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "h bigint, sentence string")
+    grams = [set(defects.opening_grams(t)) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if grams[i] and len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j])]
+    nodes, roots = graph.local_roots(*np.array(near).T)
+    got = {r["h"]: r["cluster"] for r in defects.opening_clusters(df).collect()}
+    assert len(set(roots.tolist())) > 20 and got == dict(zip(nodes.tolist(), roots.tolist()))
+    assert defects.opening_clusters(df.filter("h < 0")).count() == 0
+
+
 def test_cluster_recall(spark):
     rng = random.Random(17)
     vocabulary = [f"v{i}" for i in range(300)]
